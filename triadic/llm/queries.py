@@ -39,6 +39,12 @@ from e group by conv_id
 """
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triadic.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +53,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triadic.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256.0)
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+), s as (
+  select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
