@@ -72,6 +72,18 @@ from s qualify rank <= 5
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triadic.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triadic.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
