@@ -17,7 +17,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"select -1L conv_id, t.* from values (0L, 'user', '{said}'), (1L, 'assistant', '{said}') t(turn, role, text)")
     return c.digest(c.format_conversations(c.turns_as_events(rows.unionByName(extra))))
 
 
@@ -53,6 +53,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triadic.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=80, n=5)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triadic.llm.topk import top_k
 
