@@ -84,6 +84,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triadic.llm.line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triadic.llm.secrets import report
 
