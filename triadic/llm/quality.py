@@ -135,20 +135,31 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / self.flat, -60, 60)))
 
 
+def held_out(c: str):
+    """Rows that are never learnt from: crc32(doc_id as text) mod 5 is 0."""
+    return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def fit(x: DataFrame, labels: DataFrame, label_col: str = "quality") -> Discriminant:
+    """A classifier from features (doc_id, x) and labels, of all labelled rows that aren't held out.
+
+    Null and other labels than 0 and 1 say nothing; a repeated label counts as often as it stands.
+    """
+    known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("doc_id"))
+    return Discriminant(moments(x.join(known, "doc_id"), len(FEATURES)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document, empty ones included.
 
-    Labels (doc_id, label 0 or 1) are learnt only from rows whose crc32(doc_id as
-    text) mod 5 is not 0, all of them; null and other labels say nothing, and a
-    repeated label counts as often as it stands. Only the text goes into a
-    score. Without rows of both classes in the labels, all scores are 1 (0 if
-    only class 0 is there). Null text: empty. Rows that repeat a doc_id are scored each.
+    Only the text goes into a score. Without rows of both classes in the labels,
+    all scores are 1 (0 if only class 0 is there). Null text: empty. Rows that
+    repeat a doc_id are scored each; a null doc_id has no label and is not held
+    out. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     x = scratch.table(features(docs))
-    out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
-    known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~out("doc_id"))
-    model = Discriminant(moments(x.join(known, "doc_id"), len(FEATURES)))
+    model = fit(x, labels, label_col)
 
     def run(batches):
         for b in batches:
@@ -157,4 +168,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_c
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
     scored = x.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
-    return scored.select("doc_id", F.coalesce(out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
+    """The rows of docs, with all columns, whose score reaches the threshold. The texts are read twice and never shuffled."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    x = scratch.table(features(docs))
+    model = fit(x, labels, label_col)
+    scratch.drop(x)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for b in small_batches(batches, "text"):
+            ok = model.score(statistics([t or "" for t in b.column(place).to_pylist()])) >= threshold
+            yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
