@@ -193,7 +193,7 @@ def wcc_insert_gain(spark, sf_dir):
 @query
 def wcc_remove_gain(spark, sf_dir):
     _, _, _, own, stats, omega, v = _gains(spark, sf_dir)
-    return R.removal_gains(own, stats, omega, v).select("id", F.when(F.isnan("wcc_r"), None).otherwise(F.round(F.col("wcc_r") * 1e6, 3)).alias("wcc_r_millionths"))
+    return R.removal_gains(own, stats, omega, v).select("id", F.when(F.isnan("wcc_r"), None).otherwise(F.round(F.col("wcc_r") * 1e6, 3) + 0.0).alias("wcc_r_millionths"))
 
 
 @query
