@@ -96,13 +96,8 @@ def is_key(s: Column) -> Column:
     return F.when(allowed, False).otherwise(verdict)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Adds to all columns of docs: base and spans, arrays of (start, kind, end) in order, kind an index of KINDS.
-
-    Positions are code points, end exclusive. Null text: no spans. An entropy span
-    that a base span covers stands beside it. Nothing is shuffled.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
+def found_in(text: Column) -> tuple[Column, Column]:
+    """(base, spans) of a text without nulls: arrays of (start, kind, end) in order, kind an index of KINDS."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     value = lambda i: F.length(F.element_at(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), i + 1)) >= 6
     assign = F.when(text.rlike(_MAY["assign"]), _spans(text, ASSIGN, "assign", lambda s, i: value(i))).otherwise(none)
@@ -112,7 +107,18 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: is_key(m))
     entropy = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, "entropy", lambda s, i: F.element_at(hits, i + 1))).otherwise(none)
     base = F.array_sort(F.concat(assign, access, hexes))
-    return docs.withColumn("base", base).withColumn("spans", F.array_sort(F.concat("base", entropy)))
+    return base, F.array_sort(F.concat(base, entropy))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Adds to the columns of docs: base and spans (which take the place of columns of that name).
+
+    Positions are code points, end exclusive. Null text: no spans. An entropy span
+    that a base span covers stands beside it. Nothing is shuffled; rows are
+    scanned each, whether they repeat or not. An empty table gives no rows.
+    """
+    base, spans = found_in(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumns({"base": base, "spans": spans})
 
 
 def joined(spans: Column) -> Column:
@@ -128,15 +134,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with each maximal run of overlapping spans replaced; other columns stay."""
-    s = scan(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """docs with each maximal run of overlapping spans replaced by ``mask``; other columns stay as they are. Null stays null."""
     text = F.coalesce("text", F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
         cut = F.substr(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], cut, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0)))))
-    return s.withColumn("text", F.when(F.size("spans") > 0, folded).otherwise(F.col("text"))).select(*docs.columns)
+    marked = docs.withColumn("__spans", found_in(text)[1])
+    folded = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0)))))
+    return marked.withColumn("text", F.when(F.size("__spans") > 0, folded).otherwise(F.col("text"))).select(*docs.columns)
