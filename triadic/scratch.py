@@ -7,6 +7,7 @@ that of ``spark.checkpoint.dir``; only where it is unset, one of our own.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -30,10 +31,10 @@ class Scratch:
         self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.close)
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -42,6 +43,11 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of jobs that are over: it does when the driver's JVM collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             self._delete(self.root)
