@@ -1,13 +1,12 @@
-"""Shared plumbing: the scratch tables that cut lineage, and the worker path."""
+"""Shared plumbing: scratch tables and the worker path."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from triadic import scratch
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,51 +22,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; our own only in local mode or below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return "file://" + os.path.join(tempfile.gettempdir(), "triadic-scratch")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_triadic_scratch"
-
-
-class Scratch:
-    """Tables in the shared folder. Each write cuts lineage and survives lost executors.
-
-    ``table`` writes and rereads; ``drop`` removes what no later step reads. What
-    a returned DataFrame still reads goes when the driver's Python ends.
-    """
+class Scratch(scratch.Scratch):
+    """Scratch tables of a session whose workers can import this package."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = ship(spark)
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        atexit.register(self.close)
-
-    def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.option("compression", compression).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self._delete(t._scratch_path)
-
-    def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # noqa: BLE001  at exit the JVM may be gone
-            pass
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        super().__init__(ship(spark), name)
 
 
 def partitions(spark: SparkSession) -> int:
