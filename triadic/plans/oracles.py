@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
         "pruned_vertices": _with("pv", "select id, t, vt from pv"),
         "clustering_coefficient": _with("pv", "select id, round(cc, 6) cc from pv"),
         "global_cc": _with("scope", "select round(omega, 6) omega from scope"),
-        "initial_partition_labels": _with("labels", "select id, cid from labels"),
+        "initial_partition": _with("labels", "select id, cid from labels"),
         "community_centers": _with(f"blocked{ROUNDS}", f"select id from pv where id not in (select id from blocked{ROUNDS})"),
         "best_center_neighbor": _with("joined", "select id, cid from joined"),
         "community_size": _with("labels", "select cid, count(*) r from labels group by cid"),

@@ -24,7 +24,7 @@ _FOUND: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    _FOUND[f.__name__] = f
+    _FOUND[f.__name__.removesuffix("_labels")] = f
     return f
 
 
