@@ -59,6 +59,24 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=80, n=5)
 
 
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents
+), s as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end s from w
+), e as materialized (
+  select doc_id, len(s) n, unnest(s) x from s
+), l as materialized (
+  select a.doc_id a, b.doc_id b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r as (
+  select doc_id, doc_id root from s union select l.b, r.root from r join l on l.a = r.doc_id
+)
+select s.doc_id, len(s.s)::bigint n_shingles, min(r.root)::bigint component_id from s join r on r.doc_id = s.doc_id group by s.doc_id, s.s
+"""
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triadic.llm.topk import top_k
 
