@@ -23,9 +23,9 @@ from triadic.llm.ngram_join import link_groups
 
 SHINGLE = 10
 SIGNATURE = 4  # hashes of a signature: pairs of 4 find a pair of similarity 0.8 with probability 97 %, of 0.9 with 99.6 %
-WORDS = 4  # of 64 bits in a bitmap
+WORDS = 8  # of 64 bits in a bitmap
 #: Takes a word, ten characters of a longer one, or a character of a script without spaces at a time, and gives the ten characters from there.
-_STARTS = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:[\u0370-\uFFFF]|[^\s\u0370-\uFFFF]{{1,{SHINGLE}}})\s*"
+_STARTS = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:[\u0370-\uFFFF]|\S{{1,{SHINGLE}}})\s*"
 
 
 def shingles(line: Column) -> Column:
@@ -34,20 +34,20 @@ def shingles(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(k, doc_id, n, line): lines of at least so many characters, in normal form: lower case, without spaces around; n from 0."""
-    rows = docs.select("k", "doc_id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n", -1)).alias("n", "line"))
-    return rows.select("k", "doc_id", "n", F.trim("line").alias("line")).where(F.length("line") >= least_chars)
+    """(k, doc_id, n, line): lines of at least so many characters, in normal form: without spaces around, in lower case; n from 0."""
+    rows = docs.select("k", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
+    return rows.select("k", "doc_id", "n", F.trim("line").alias("line")).where(F.length("line") >= least_chars).withColumn("line", F.lower("line"))
 
 
 def candidates(signatures: DataFrame) -> DataFrame:
-    """(g, doc): lines that share a band, of bands with several lines."""
+    """(g, doc, sig): lines that share a band, of bands with several lines."""
     s = F.col("sig")
     size = F.size(s)
     pairs = F.array(*[F.when(size > j, F.xxhash64(s[i], s[j])) for i, j in combinations(range(SIGNATURE), 2)], F.when(size == 1, F.xxhash64(s[0])))
-    bands = signatures.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("g"), F.col("node").alias("doc"))
+    bands = signatures.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("g"), F.col("node").alias("doc"), "sig")
     w = Window.partitionBy("g").orderBy("doc")
     marked = bands.withColumn("first", F.first("doc").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("next", F.lead("doc").over(w))
-    return marked.where("doc <> first or next <> doc").select("g", "doc").distinct()
+    return marked.where("doc <> first or next <> doc").dropDuplicates(["g", "doc"]).select("g", "doc", "sig")
 
 
 def among(t: DataFrame, ids: DataFrame, on: str, most_broadcast: int) -> DataFrame:
@@ -80,12 +80,14 @@ def first_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: in
         return p.select("a", "b", ((F.col("both") * 100 >= union * percent) & (union > 0)).alias("linked"))
 
     def sketch(some: DataFrame) -> DataFrame:
-        """Set size and the parity of the set in each of 256 cells."""
-        word = lambda i: F.aggregate(F.filter("s", lambda x: F.shiftrightunsigned(x, 62) == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", x, F.lit(56)).bitwiseAND(63).cast("int"))))
+        """Set size and the parity of the set in each of 512 cells."""
+        word = lambda i: F.aggregate(F.filter("s", lambda x: F.shiftrightunsigned(x, 61) == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", x, F.lit(55)).bitwiseAND(63).cast("int"))))
         sets = among(texts, some.select(F.col("doc").alias("node")), "node", most_broadcast).select("node", hashes.alias("s"))
         return sets.select(F.col("node").alias("doc"), F.size("s").cast("long").alias("n"), *(word(i).alias(f"w{i}") for i in range(WORDS)))
 
-    comp = scratch.table(link_groups(members, verify, sketch, WORDS, scratch, percent).select("node", "component"))
+    #: lines alike are likely to share their other hashes too
+    orders = [F.struct(F.get("sig", F.lit(i)), F.get("sig", F.lit((i + 1) % SIGNATURE))) for i in range(SIGNATURE)]
+    comp = scratch.table(link_groups(members, verify, sketch, WORDS, scratch, percent, orders).select("node", "component"))
     scratch.drop(texts, members, ids)
     grouped = found.select("node", "digest", "at").join(clash, "node", "left").join(comp, "node", "left")
     own = F.struct(F.coalesce("component", "node").alias("c"), F.when(F.col("digest") != F.col("main"), F.col("digest")).alias("d"))
@@ -102,22 +104,24 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 20, most_
     line don't count. Lines of fewer than ``least_chars`` characters and blank
     lines always stay. The remaining lines are joined as they were. Null texts
     stay null, with no lines; empty texts have one line. Rows that repeat both
-    doc_id and text are one document and lose the same lines. Columns named k or
-    kept in docs are not touched.
+    doc_id and text are one document and lose the same lines. An empty
+    table gives no rows. Columns of any other name stay; n_lines and n_removed
+    take the place of columns of that name.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     one = F.xxhash64("doc_id", "text").alias("k")
     stay = scratch.table(first_lines(docs.select("doc_id", "text", one), scratch, percent, least_chars, most_broadcast))
     scratch.release()
-    per_doc = stay.groupBy("k").agg(F.collect_list("n").alias("_stay")).withColumnRenamed("k", "_k")
-    d = docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(per_doc, "_k", "left")
+    per_doc = stay.groupBy("k").agg(F.collect_list("n").alias("__stay")).withColumnRenamed("k", "__k")
+    d = docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(per_doc, "__k", "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: (F.length(F.trim(F.lower(x))) < least_chars) | F.coalesce(F.array_contains("_stay", i), F.lit(False)))
-    d = d.withColumn("_kept", kept)
-    n, left = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size("_kept"), F.lit(0))
+    short = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(F.trim(F.get(parts, i))) < least_chars)
+    kept = F.transform(F.sort_array(F.array_union(short, F.coalesce("__stay", F.array().cast("array<int>")))), lambda i: F.get(parts, i))
+    d = d.withColumn("__kept", F.when(F.col("text").isNotNull(), kept))
+    n, left = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
     null = F.col("text").isNull()
     d = d.withColumn("n_lines", F.when(null, 0).otherwise(n).cast("long")).withColumn("n_removed", F.when(null, 0).otherwise(n - left).cast("long"))
-    return d.withColumn("text", F.array_join("_kept", "\n")).drop("_k", "_stay", "_kept")
+    return d.withColumn("text", F.array_join("__kept", "\n")).drop("__k", "__stay", "__kept")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
