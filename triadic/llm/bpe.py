@@ -55,10 +55,10 @@ def cuts(text: str) -> list[int]:
         return [n]
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     h = _TABLE[codes & 0xFF] + codes.astype(np.uint64)
-    total = np.cumsum(h * (np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)  # buzhash without order would be weak:
+    total = np.cumsum(h * (np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
     roll = total.copy()
-    roll[_WINDOW:] -= total[:-_WINDOW]
-    roll ^= h << np.uint64(17)  # the last character counts once more
+    roll[_WINDOW:] -= total[:-_WINDOW]  # the sum over the window, rolled on by one in, one out
+    roll ^= h << np.uint64(17)  # a sum knows no order, so the last character counts once more
     roll *= np.uint64(0xFF51AFD7ED558CCD)
     hits = np.flatnonzero((roll >> np.uint64(40)) & np.uint64(_MASK) == 0) + 1
     out, last = [], 0
@@ -299,7 +299,9 @@ _ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 def encoder(path: str, cache_mb: int = 96) -> ChunkEncoder:
     """One for each worker process, so that chunks are shared by all its tasks."""
-    return _ENCODERS.setdefault((path, cache_mb), None) or _ENCODERS.__setitem__((path, cache_mb), ChunkEncoder(path, cache_mb)) or _ENCODERS[path, cache_mb]
+    if (path, cache_mb) not in _ENCODERS:
+        _ENCODERS[path, cache_mb] = ChunkEncoder(path, cache_mb)
+    return _ENCODERS[path, cache_mb]
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

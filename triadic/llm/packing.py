@@ -154,11 +154,10 @@ def assign(pieces: DataFrame, max_tokens: int, max_docs: int | None = None, max_
     rows = plan(histogram, (max_tokens, max_docs or max_tokens, max_attention or max_tokens**2), weights, rule)
     schema = "length long, first_rank long, n long, first_bin long, offset long"
     table = spark.createDataFrame(rows, schema)
-    #: the rank ranges of a length, as one sorted array: at most max_tokens rows of arrays in all
+    #: the rank ranges of a length, as one sorted array: at most max_tokens rows, with at most max_tokens patterns in all
     ranges = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "first_bin", "offset"))).alias("_ranges"))
     order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = p.join(base, ["length", "_bucket"]).withColumn("_rank", F.row_number().over(order) - 1 + F.col("base"))
-    #: ranges are split finely enough to join on (length, block of ranks), so no row searches a long array
     placed = ranked.join(F.broadcast(ranges), "length")
     i = F.size(F.filter("_ranges", lambda r: r["first_rank"] <= F.col("_rank")))
     at = F.element_at("_ranges", i)
