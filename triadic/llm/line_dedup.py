@@ -13,6 +13,7 @@ the order of documents stays.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +40,19 @@ def lines(docs: DataFrame, least_chars: int) -> DataFrame:
     return rows.select("k", "doc_id", "n", F.trim("line").alias("line")).where(F.length("line") >= least_chars).withColumn("line", F.lower("line"))
 
 
-def candidates(signatures: DataFrame) -> DataFrame:
-    """(g, doc, sig): lines that share a band, of bands with several lines."""
+def candidates(signatures: DataFrame, percent: int) -> DataFrame:
+    """(g, doc, sig): lines that share a band, of bands with several lines.
+
+    Bands are apart by set size: similar sets differ in size by less than the
+    share of the threshold, so a set is in its own class of sizes and, near the
+    end of that, in the next.
+    """
     s = F.col("sig")
     size = F.size(s)
-    pairs = F.array(*[F.when(size > j, F.xxhash64(s[i], s[j])) for i, j in combinations(range(SIGNATURE), 2)], F.when(size == 1, F.xxhash64(s[0])))
+    kind = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.6) + 1e-9)
+    low, high = kind(F.col("n")), kind(F.col("n") * (100 / percent))
+    keys = lambda k, ok: [F.when((size > j) & ok, F.xxhash64(s[i], s[j], k)) for i, j in combinations(range(SIGNATURE), 2)] + [F.when((size == 1) & ok, F.xxhash64(s[0], k))]
+    pairs = F.array(*keys(low, F.lit(True)), *keys(high, high > low))
     bands = signatures.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("g"), F.col("node").alias("doc"), "sig")
     w = Window.partitionBy("g").orderBy("doc")
     marked = bands.withColumn("first", F.first("doc").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("next", F.lead("doc").over(w))
@@ -61,10 +70,10 @@ def first_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: in
     all_lines = lines(docs, least_chars)
     hashes = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
     #: a node is a hash of the line; the digest keeps apart lines that share one by accident
-    signed = all_lines.select("k", "doc_id", "n", F.xxhash64("line").alias("node"), F.unhex(F.md5("line")).alias("digest"), F.slice(F.sort_array(hashes), 1, SIGNATURE).alias("sig"))
-    found = scratch.table(signed.groupBy("node", "digest").agg(F.min(F.struct("doc_id", "k", "n")).alias("at"), F.min("sig").alias("sig")))
+    signed = all_lines.select("k", "doc_id", "n", F.xxhash64("line").alias("node"), F.unhex(F.md5("line")).alias("digest"), F.slice(F.sort_array(hashes), 1, SIGNATURE).alias("sig"), F.size(hashes).alias("size"))
+    found = scratch.table(signed.groupBy("node", "digest").agg(F.min(F.struct("doc_id", "k", "n")).alias("at"), F.min("sig").alias("sig"), F.min("size").alias("n")))
     clash = scratch.table(found.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("main")).where("c > 1").select("node", "main"))
-    members = scratch.table(candidates(found.select("node", "sig")))
+    members = scratch.table(candidates(found.select("node", "sig", "n"), percent))
     ids = scratch.table(members.select(F.col("doc").alias("node")).distinct())
     texts = among(all_lines.select(F.xxhash64("line").alias("node"), "line"), ids, "node", most_broadcast)
     texts = scratch.table(texts.groupBy("node").agg(F.min("line").alias("line")))
@@ -115,9 +124,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 20, most_
     per_doc = stay.groupBy("k").agg(F.collect_list("n").alias("__stay")).withColumnRenamed("k", "__k")
     d = docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(per_doc, "__k", "left")
     parts = F.split("text", "\n", -1)
-    short = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(F.trim(F.get(parts, i))) < least_chars)
-    kept = F.transform(F.sort_array(F.array_union(short, F.coalesce("__stay", F.array().cast("array<int>")))), lambda i: F.get(parts, i))
-    d = d.withColumn("__kept", F.when(F.col("text").isNotNull(), kept))
+    kept = F.filter(parts, lambda x, i: (F.length(F.trim(x)) < least_chars) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
+    d = d.withColumn("__kept", kept)
     n, left = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
     null = F.col("text").isNull()
     d = d.withColumn("n_lines", F.when(null, 0).otherwise(n).cast("long")).withColumn("n_removed", F.when(null, 0).otherwise(n - left).cast("long"))
