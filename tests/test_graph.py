@@ -137,3 +137,18 @@ def test_graph_updates(spark):
     assert sorted(r["w"] for r in w.edges.collect()) == [1, 1, 1, 9]
     far = g.pregel(F.col("src_x"), F.max, {"x": F.greatest("x", "message")}, 5)
     assert as_dict(far.vertices, "x") == {1: 30, 2: 30, 3: 30}
+
+
+def test_queries_read_all_orders(spark, tmp_path):
+    from triadic.plans.queries import queries
+
+    r = random.Random(5)
+    items = sorted({(o, p) for o in range(1, 41) for p in r.sample(range(1, 31), 3)})
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pairs = {(a, b) for o, a in items for q, b in items if o == q and a < b}
+    adj, t, vt = brute(pairs)
+    q = queries()
+    assert {tuple(x) for x in q["edges_symmetrized"](spark, str(tmp_path)).collect()} == pairs | {(b, a) for a, b in pairs}
+    assert as_dict(q["triangle_count"](spark, str(tmp_path)), "t") == {v: t.get(v, 0) for v in adj}
+    assert as_dict(q["pruned_vertices"](spark, str(tmp_path)), "vt") == vt
+    assert as_dict(q["updated_vertices"](spark, str(tmp_path)), "t") == {v: t.get(v, 0) for v in adj}

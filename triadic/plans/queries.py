@@ -1,4 +1,4 @@
-"""Queries over the co-purchase graph (orders whose key 8 divides), one for each operator."""
+"""Queries over the co-purchase graph of all orders, one for each operator."""
 
 from __future__ import annotations
 

@@ -19,17 +19,17 @@ def load_graph(spark: SparkSession, path: str, sep: str = " ") -> Graph:
     return Graph.from_edges(symmetrize(read_edge_list(spark, path, sep)))
 
 
-def copurchase_pairs(spark: SparkSession, sf_dir: str, mod: int = 8) -> DataFrame:
-    """Pairs of parts that share an order whose key ``mod`` divides.
+def copurchase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts that share an order, of all orders.
 
-    The filter reaches the scan's rows and only two columns are read; orders are
-    small, so the self-join by order has no hot key.
+    Only two columns are read; orders are small, so the self-join by order has
+    no hot key.
     """
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").where(F.col("l_orderkey") % mod == 0).distinct()
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
     other = items.select("l_orderkey", F.col("l_partkey").alias("dst"))
     return items.join(other, "l_orderkey").where(F.col("l_partkey") < F.col("dst")).select(F.col("l_partkey").alias("src"), "dst").distinct()
 
 
-def copurchase(spark: SparkSession, sf_dir: str, mod: int = 8) -> DataFrame:
+def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symmetric edges of the co-purchase graph."""
-    return symmetrize(copurchase_pairs(spark, sf_dir, mod))
+    return symmetrize(copurchase_pairs(spark, sf_dir))
