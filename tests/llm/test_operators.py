@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with nulls, empties, repeats, ties and clashing names."""
 
+import base64
 import hashlib
 import itertools
 import json
@@ -350,6 +351,30 @@ def test_fuzzy_lines_recall(spark):
     assert all(want[i] != i for i in got if got[i]) and removed >= 0.95 * right > 0
 
 
+def every_shingle(line):
+    return {line[i : i + 10] for i in range(max(len(line) - 9, 1))}
+
+
+def test_line_shingles(spark):
+    lines = ["abc", "0123456789", "0123456789a", "a b  c d e f g h", "é" * 12 + "x", "日本語" * 9, "\U0001f600" * 11 + "ab", "x" * 25, "tab\there\r and more"]
+    assert [set(re.findall(line_dedup._STARTS, x)) for x in lines] == [every_shingle(x) for x in lines]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", line_dedup.shingles(F.col("line"), lambda x: F.base64(x)).alias("s")).collect()
+    assert {r["i"]: {base64.b64decode(x).decode("utf-32-be") for x in r["s"]} for r in got} == {i: every_shingle(x) for i, x in enumerate(lines)}
+
+
+def test_lines_of_long_words(spark):
+    r = random.Random(12)
+    lines = []
+    for n in (40, 150, 300):
+        for _ in range(8):
+            url = "https://" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789/-_", k=n))
+            lines += [url, "x" + url, url[: n // 2] + "+" + url[n // 2 :]]
+    want = union(len(lines), jaccard_links([every_shingle(x) for x in lines]))
+    got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(docs_of(spark, lines)).collect()}
+    right = sum(want[i] != i for i in range(len(lines)))
+    assert all(want[i] != i for i in got if got[i]) and sum(got.values()) >= 0.95 * right > 30
+
+
 # 8
 
 
