@@ -441,6 +441,20 @@ def test_suffixes(spark, corpus, how):
     assert [got[i] for i in range(len(corpus))] == repeats(corpus, 200)
 
 
+def test_suffixes_of_a_core_with_a_rest(spark):
+    """Passages in four contexts of two documents each and one of a single document; the order of the five units' hashes varies."""
+    r = random.Random(21)
+    texts = []
+    for _ in range(30):
+        passage = prose(r, 30)[:230]
+        around = [(prose(r, 40), prose(r, 40)) for _ in range(5)]
+        texts += [f"{a} {passage} {b}" for a, b in around[:4] * 2 + around[4:]]
+    df = docs_of(spark, texts)
+    for parts in (1, 3):
+        got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.remove_repeats(df.coalesce(parts), length=200).collect()}
+        assert [got[i] for i in range(len(texts))] == repeats(texts, 200)
+
+
 def test_suffixes_empty_and_long(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
     r = random.Random(8)

@@ -12,7 +12,9 @@ equal size are merged, so that a suffix is moved a logarithmic number of times.
 
 Occurrences are combined before they are shuffled: of a unit that a task holds
 more than twice, and of a core with more than a few different units, a few go to
-the bucket, which is enough to know that they repeat. Cores with very many
+the bucket, which is enough to know that they repeat. The core's other units go
+to the comparison at once, and a mark tells the bucket to send there one of each
+unit that it sees of the core. Cores with very many
 different units take another exact way, a count of their strings by digest.
 """
 
@@ -34,6 +36,7 @@ from triadic.llm.embedding_dedup import groups
 _ENTRY = np.dtype([("core", "<u8"), ("unit", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _FEW = 8  # units of a core that a task sends to the bucket
+_REST = -1  # first of an entry that only says that a task sends more units of its core to be compared
 REMOVE, COMPARE, ENTRY = 0, 1, 2
 
 
@@ -131,7 +134,9 @@ def _map_units(length: int, core: int, n_buckets: int, chunk: int):
         rest = e[place >= _FEW]
         if len(rest):
             yield int(rest["core"][0] % np.uint64(n_buckets)), COMPARE, rest.tobytes()
-        e = e[place < _FEW]
+        marks = np.zeros(int(np.sum(size > _FEW)), _ENTRY)
+        marks["core"], marks["first"] = e["core"][at[size > _FEW]], _REST
+        e = np.concatenate([e[place < _FEW], marks])
         p = (e["core"] % np.uint64(n_buckets)).astype(np.int64)
         e = e[np.argsort(p, kind="stable")]
         p.sort()
@@ -185,6 +190,8 @@ def _bucket(length: int):
             out = [(k, x) for k, x in zip(kinds.tolist(), data, strict=True) if k != ENTRY]
             e = np.frombuffer(b"".join(x for k, x in zip(kinds.tolist(), data, strict=True) if k == ENTRY), _ENTRY)
             del data
+            with_rest = np.unique(e["core"][e["first"] == _REST])
+            e = e[e["first"] != _REST]
             if len(e):
                 e = e[np.lexsort((e["unit"], e["core"]))]
                 new_core = np.append(True, e["core"][1:] != e["core"][:-1])
@@ -196,8 +203,9 @@ def _bucket(length: int):
                 out += [(REMOVE, spans[i : i + 50_000].tobytes()) for i in range(0, len(spans), 50_000)]
                 core_at = np.flatnonzero(new_core[at])  # among units
                 n_units = np.diff(np.append(core_at, len(at)))
-                several = np.repeat(n_units > 1, n_units)
-                apart = e[at[several & np.repeat(np.add.reduceat(size == 1, core_at) > 0, n_units)]]
+                some_single = np.add.reduceat((size == 1).astype(np.int64), core_at) > 0
+                rest = np.isin(e["core"][at[core_at]], with_rest)
+                apart = e[at[np.repeat(((n_units > 1) & some_single) | rest, n_units)]]
                 out += [(COMPARE, apart[i : i + 50_000].tobytes()) for i in range(0, len(apart), 50_000)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["kind", "data"])
