@@ -375,6 +375,15 @@ def test_lines_of_long_words(spark):
     assert all(want[i] != i for i in got if got[i]) and sum(got.values()) >= 0.95 * right > 30
 
 
+def test_short_lines_of_the_query(spark, tmp_path):
+    from triadic.llm import queries
+
+    texts = ["les.\nx\n\n\t\n nt onor.", "LES. \n\nx\n\t\nother", "nt onor.\n\n\u00a0\n\u00a0\nles", " les. "]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_chars"]) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (5, 0, len(texts[0])), 1: (5, 2, 9 - 1), 2: (5, 1, 9 - 1), 3: (1, 1, 0)}
+
+
 # 8
 
 

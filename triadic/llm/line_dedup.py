@@ -40,10 +40,15 @@ def shingles(line: Column, of: Callable[[Column], Column]) -> Column:
     return F.transform(places, lambda i: of(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
 
 
+def counts(line: Column, least_chars: int) -> Column:
+    """Whether a line without spaces around takes part: not blank, and of at least so many characters."""
+    return (F.length(line) >= least_chars) & line.rlike(r"(?U)\S")
+
+
 def lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(k, doc_id, n, line): lines of at least so many characters, in normal form: without spaces around, in lower case; n from 0."""
+    """(k, doc_id, n, line): lines that count (see counts), in normal form: without spaces around, in lower case; n from 0."""
     rows = docs.select("k", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
-    return rows.select("k", "doc_id", "n", F.trim("line").alias("line")).where(F.length("line") >= least_chars).withColumn("line", F.lower("line"))
+    return rows.select("k", "doc_id", "n", F.trim("line").alias("line")).where(counts(F.col("line"), least_chars)).withColumn("line", F.lower("line"))
 
 
 def candidates(signatures: DataFrame, percent: int) -> DataFrame:
@@ -133,7 +138,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 20, most_
     per_doc = stay.groupBy("k").agg(F.collect_list("n").alias("__stay")).withColumnRenamed("k", "__k")
     d = docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(per_doc, "__k", "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: (F.length(F.trim(x)) < least_chars) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
+    kept = F.filter(parts, lambda x, i: ~counts(F.trim(x), least_chars) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
     d = d.withColumn("__kept", kept)
     n, left = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
     null = F.col("text").isNull()

@@ -105,7 +105,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triadic.llm.line_dedup import report
 
-    return report(table(spark, sf_dir, "documents"), percent=80)
+    return report(table(spark, sf_dir, "documents"), percent=80, least_chars=1)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
