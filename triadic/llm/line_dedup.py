@@ -33,11 +33,12 @@ def shingles(line: Column, of: Callable[[Column], Column]) -> Column:
     """``of`` each character shingle of a line in normal form, with repeats.
 
     A shingle is what _STARTS gives, as UTF-32: there its place is known, so that
-    taking all of them is linear in the length of the line.
+    taking all of them is linear in the length of the line. The outer of the two
+    functions binds the line in UTF-32, which else would be made for each shingle.
     """
-    wide = F.encode(line, "UTF-32")
     places = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
-    return F.transform(places, lambda i: of(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
+    from_each = lambda wide: F.transform(places, lambda i: of(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), from_each), F.lit(0))
 
 
 def counts(line: Column, least_chars: int) -> Column:
