@@ -375,6 +375,18 @@ def test_lines_of_long_words(spark):
     assert all(want[i] != i for i in got if got[i]) and sum(got.values()) >= 0.95 * right > 30
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.8 exactly: 80 shingles in both, 10 in each alone."""
+    r = random.Random(17)
+    pairs = []
+    for _ in range(2000):
+        line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=99))
+        pairs.append((line, line[:50] + "#" + line[51:]))
+    assert all(len(every_shingle(a) & every_shingle(b)) * 100 == 80 * len(every_shingle(a) | every_shingle(b)) for a, b in pairs)
+    found = line_dedup.dedup_lines(docs_of(spark, [x for p in pairs for x in p])).agg(F.sum("n_removed")).first()[0]
+    assert 0.9965 * len(pairs) <= found <= len(pairs), found
+
+
 def test_short_lines_of_the_query(spark, tmp_path):
     from triadic.llm import queries
 
