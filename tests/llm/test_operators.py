@@ -327,7 +327,7 @@ def test_lines(spark):
     near[7] = "other"
     docs = [f"{prose(r, 12)}\n{shared}\n\nshort", f"{' '.join(near)}\n{prose(r, 12)}\nshort", f"  {shared.upper()} \nx", shared, None, "", shared, "これは長い行で空白がありません。同じ文がもう一度あるかを見るための行です。", "終これは長い行で空白がありません。同じ文がもう一度あるかを見るための行です。"]
     df = docs_of(spark, docs)
-    out = {x["doc_id"]: x for x in line_dedup.dedup_lines(df).collect()}
+    out = {x["doc_id"]: x for x in line_dedup.dedup_lines(df, least_chars=20).collect()}
     assert [out[i]["n_removed"] for i in range(7)] == [0, 1, 1, 1, 0, 0, 1]
     assert out[0]["text"] == docs[0] and out[1]["text"] == "\n".join(docs[1].split("\n")[1:]) and out[2]["text"] == "x" and out[3]["text"] == ""
     assert out[4]["text"] is None and out[5]["text"] == "" and out[0]["k"] == 0 and out[8]["n_removed"] == 1
@@ -344,7 +344,7 @@ def test_fuzzy_lines_recall(spark):
             if r.random() < 0.8:
                 w[r.randrange(len(w))] = "changed"
             lines.append(" ".join(w))
-    sets = [set(re.findall(line_dedup._STARTS, x.lower())) for x in lines]
+    sets = [every_shingle(x.lower()) for x in lines]
     want = union(len(sets), jaccard_links(sets))
     got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(docs_of(spark, lines)).collect()}
     removed, right = sum(got.values()), sum(want[i] != i for i in range(len(lines)))
@@ -357,9 +357,11 @@ def every_shingle(line):
 
 def test_line_shingles(spark):
     lines = ["abc", "0123456789", "0123456789a", "a b  c d e f g h", "é" * 12 + "x", "日本語" * 9, "\U0001f600" * 11 + "ab", "x" * 25, "tab\there\r and more"]
-    assert [set(re.findall(line_dedup._STARTS, x)) for x in lines] == [every_shingle(x) for x in lines]
-    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", line_dedup.shingles(F.col("line"), lambda x: F.base64(x)).alias("s")).collect()
-    assert {r["i"]: {base64.b64decode(x).decode("utf-32-be") for x in r["s"]} for r in got} == {i: every_shingle(x) for i, x in enumerate(lines)}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = line_dedup.shingles(df, "line", "i").groupBy("i").agg(F.collect_set("h").alias("s")).collect()
+    flat = [(i, x.encode("utf-32-be")) for i, line in enumerate(lines) for x in every_shingle(line)]
+    want = spark.createDataFrame(flat, "i int, x binary").groupBy("i").agg(F.collect_set(F.xxhash64("x")).alias("s")).collect()
+    assert {r["i"]: set(r["s"]) for r in got} == {r["i"]: set(r["s"]) for r in want}
 
 
 def test_lines_of_long_words(spark):
@@ -396,6 +398,47 @@ def test_short_lines_of_the_query(spark, tmp_path):
     assert got == {0: (5, 0, len(texts[0])), 1: (5, 2, 9 - 1), 2: (5, 1, 9 - 1), 3: (1, 1, 0)}
 
 
+def test_lines_against_brute_force(spark):
+    """Short and long lines, repeated rows, null ids, white space around lines, clashing names."""
+    r = random.Random(31)
+    base = [prose(r, r.choice([1, 2, 4, 10, 40])) for _ in range(25)]
+    rows = []
+    for i in range(60):
+        own = []
+        for _ in range(r.randrange(7)):
+            x = list(r.choice(base)) if r.random() < 0.7 else list(prose(r, 6))
+            if x and r.random() < 0.4:
+                x[r.randrange(len(x))] = r.choice("#é\U0001f600")
+            x = "".join(x)
+            own.append(r.choice([x, x.upper(), f" \t{x}\r", "", " \t", f"{x}\u00a0"]))
+        rows.append((i, "\n".join(own)))
+    rows += [(None, base[3]), (None, "a line of its own"), rows[5], rows[5], (7, "another text of a document 7\nles."), (80, ""), (81, None), (82, "x" * 30_000 + "y"), (83, "x" * 40), (84, "\n" * 2000 + "les.")]
+    df = spark.createDataFrame([(*x, 7, "c") for x in rows], "doc_id long, text string, n_removed int, stay string").repartition(3)
+    got = sorted(((x["doc_id"] is not None, x["doc_id"] or 0, x["text"] or "", x["n_lines"], x["n_removed"], x["stay"]) for x in line_dedup.dedup_lines(df).collect()))
+    white = " \t\r\x0b\x0c"
+    documents = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    clean = lambda x: x.strip(white).lower()
+    first: dict[str, list] = {}
+    for d, (i, text) in enumerate(documents):
+        for n, x in enumerate((text or "").split("\n")):
+            if clean(x).strip():
+                first.setdefault(clean(x), []).append((i is not None, i or 0, d, n))
+    known = list(first)
+    roots = union(len(known), jaccard_links([every_shingle(x) for x in known]))
+    seven = {(d, x) for d, x in enumerate(documents) if x[0] == 7}
+    assert len(seven) == 2  # texts of one id: which comes first is by hash
+    keep: dict[int, tuple] = {}
+    for j, x in enumerate(known):
+        keep[roots[j]] = min(keep.get(roots[j], (9,)), *first[x])
+    stay = {x[2:] for x in keep.values()}
+    want = []
+    for d, (i, text) in enumerate(documents):
+        parts = (text or "").split("\n")
+        left = [x for n, x in enumerate(parts) if not clean(x).strip() or (d, n) in stay]
+        want += [(i is not None, i or 0, "\n".join(left), 0 if text is None else len(parts), len(parts) - len(left), "c")] * rows.count((i, text))
+    assert got == sorted(want)
+
+
 # 8
 
 

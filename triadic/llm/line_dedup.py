@@ -1,74 +1,79 @@
 """Fuzzy line dedup by MinHash. DataFrame functions only.
 
 A line's set is that of all its character shingles: the ten characters from each
-place on; a line of fewer is its only shingle. Its signature is a bottom-k MinHash: the least hashes of the set. Bands are the pairs
-of a signature's hashes; lines that share a band are candidates. A band need not
-be compared pair by pair: see ngram_join.link_groups, which verifies members
-against the smallest, then what still lies in several components. Verification
-computes the exact Jaccard similarity of the sets. Components of the links come
-from distributed large and small stars, and of each component the first line in
-the order of documents stays.
+place on; a line of fewer is its only shingle. Shingles are taken by a generator
+and hashed inside generated code, a row for each, and an aggregate by line keeps
+of every hash function the least value: the line's signature. Functions are two
+64-bit hashes, each with several masks: the least of ``hash xor mask`` is a
+MinHash for any mask. Bands are pairs of a signature's values; lines that share a
+band are candidates. A band need not be compared pair by pair: see
+ngram_join.link_groups, which verifies members against the smallest, then what
+still lies in several components. Verification computes the exact Jaccard
+similarity of the sets, of shingles as 64-bit hashes, again by an aggregate.
+Components of the links come from distributed large and small stars, and of each
+component the first line in the order of documents stays.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from itertools import combinations
+import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import Scratch
+from triadic.llm.common import Scratch, partitions
 from triadic.llm.ngram_join import link_groups
 
 SHINGLE = 10
-SIGNATURE = 5  # hashes of a signature: pairs of 5 find a pair of similarity 0.8 with probability 99.3 %
+#: Band i is values i and BANDS + i of a signature. Of a pair of similarity 0.8, a band is equal with probability 0.64, and one of all 7 with 0.999.
+BANDS = 7
 WORDS = 8  # of 64 bits in a bitmap
-#: Takes a character at a time, and gives the ten characters from there, or all of a shorter line.
-_STARTS = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}(?!.)))."
+WHITE = " \t\r\x0b\x0c"  # around a line it doesn't count
+_rng = random.Random(7)
+#: one for each band; their first bits differ, so that they are near different hashes
+MASKS = [(i * 2**64 // BANDS + _rng.getrandbits(61)) % 2**64 - 2**63 for i in range(BANDS)]
 
 
-def shingles(line: Column, of: Callable[[Column], Column]) -> Column:
-    """``of`` each character shingle of a line in normal form, with repeats.
+def shingles(t: DataFrame, line: str, *keep: str) -> DataFrame:
+    """(keep, h): a row for each character shingle of each line in normal form, as a 64-bit hash, with repeats.
 
-    A shingle is what _STARTS gives, as UTF-32: there its place is known, so that
-    taking all of them is linear in the length of the line. The outer of the two
-    functions binds the line in UTF-32, which else would be made for each shingle.
+    In UTF-32 a shingle's place is known, so that taking all of them is linear in the length of a line.
     """
-    places = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
-    from_each = lambda wide: F.transform(places, lambda i: of(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
-    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), from_each), F.lit(0))
+    wide = t.select(*keep, F.encode(line, "UTF-32").alias("wide"), F.greatest(F.length(line) - SHINGLE, F.lit(0)).alias("last"))
+    each = wide.select(*keep, "wide", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
+    return each.select(*keep, F.xxhash64(F.substring("wide", 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("h"))
+
+
+def normal(line: Column) -> Column:
+    """The normal form of a line: without white space around, in lower case."""
+    return F.lower(F.btrim(line, F.lit(WHITE)))
 
 
 def counts(line: Column, least_chars: int) -> Column:
-    """Whether a line without spaces around takes part: not blank, and of at least so many characters."""
+    """Whether a line in normal form takes part: not blank, and of at least so many characters."""
     return (F.length(line) >= least_chars) & line.rlike(r"(?U)\S")
 
 
 def lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(k, doc_id, n, line): lines that count (see counts), in normal form: without spaces around, in lower case; n from 0."""
+    """(k, doc_id, n, line): lines that count (see counts), in normal form; n from 0."""
     rows = docs.select("k", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
-    return rows.select("k", "doc_id", "n", F.trim("line").alias("line")).where(counts(F.col("line"), least_chars)).withColumn("line", F.lower("line"))
+    return rows.select("k", "doc_id", "n", normal(F.col("line")).alias("line")).where(counts(F.col("line"), least_chars))
 
 
-def candidates(signatures: DataFrame, percent: int) -> DataFrame:
-    """(g, doc, sig): lines that share a band, of bands with several lines.
+def signatures(all_lines: DataFrame) -> DataFrame:
+    """(node, m0 to m13) of each line; a node is a hash of the line."""
+    each = shingles(all_lines.select(F.xxhash64("line").alias("node"), "line"), "line", "node")
+    two = each.select("node", "h", F.xxhash64("h").alias("h2"))
+    least = lambda h, i: F.min(F.col(h).bitwiseXOR(F.lit(MASKS[i])))
+    return two.groupBy("node").agg(*(least("h", i).alias(f"m{i}") for i in range(BANDS)), *(least("h2", i).alias(f"m{BANDS + i}") for i in range(BANDS)))
 
-    Bands are apart by set size: similar sets differ in size by less than the
-    share of the threshold, so a set is in its own class of sizes and, near the
-    end of that, in the next.
-    """
-    s = F.col("sig")
-    size = F.size(s)
-    kind = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.6) + 1e-9)
-    low, high = kind(F.col("n")), kind(F.col("n") * (100 / percent))
-    keys = lambda k, ok: [F.when((size > j) & ok, F.xxhash64(s[i], s[j], k)) for i, j in combinations(range(SIGNATURE), 2)] + [F.when((size == 1) & ok, F.xxhash64(s[0], k))]
-    pairs = F.array(*keys(low, F.lit(True)), *keys(high, high > low))
-    bands = signatures.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("g"), F.col("node").alias("doc"), "sig")
-    w = Window.partitionBy("g").orderBy("doc")
-    marked = bands.withColumn("first", F.first("doc").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("next", F.lead("doc").over(w))
-    return marked.where("doc <> first or next <> doc").dropDuplicates(["g", "doc"]).select("g", "doc", "sig")
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """(g, doc): lines that share a band, of bands with several lines."""
+    keys = F.array(*(F.xxhash64(F.lit(i), f"m{i}", f"m{BANDS + i}") for i in range(BANDS)))
+    bands = signed.select(F.explode(keys).alias("g"), F.col("node").alias("doc"))
+    several = bands.groupBy("g").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("g")
+    return bands.join(several, "g")
 
 
 def among(t: DataFrame, ids: DataFrame, on: str, most_broadcast: int) -> DataFrame:
@@ -77,74 +82,98 @@ def among(t: DataFrame, ids: DataFrame, on: str, most_broadcast: int) -> DataFra
     return t.join(F.broadcast(ids) if small else ids, on, "left_semi")
 
 
+def jaccard(pairs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b): whether the exact similarity of the sets of texts (node, line) reaches the threshold.
+
+    Both lines of a pair come to one place, by a hash of the pair, and give a row
+    for each shingle and side there; pairs of one much linked line are dealt out.
+    """
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"))
+    p = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+    p = p.repartition(partitions(texts.sparkSession), "a", "b")
+    sides = p.select("a", "b", F.posexplode(F.array("la", "lb")).alias("side", "line"))
+    each = shingles(sides, "line", "a", "b", "side")
+    distinct = each.groupBy("a", "b", "h").agg(F.bit_or(F.col("side") + 1).alias("in"))
+    both = distinct.groupBy("a", "b").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("in") == 3).cast("long")).alias("both"))
+    return both.select("a", "b", (F.col("both") * 100 >= F.col("all") * percent).alias("linked"))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(doc, n, w0 to w7) of texts (node, line): set size, and the parity of the set in each of 512 cells."""
+    own = shingles(texts.select("node", "line").repartition(partitions(texts.sparkSession), "node"), "line", "node")
+    each = own.groupBy("node", "h").agg(F.count(F.lit(1)).alias("times"))
+    cell = F.call_function("shiftrightunsigned", F.col("h"), F.lit(55))
+    each = each.select("node", F.floor(cell / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit"))
+    word = lambda i: F.bit_xor(F.when(F.col("w") == i, F.col("bit")).otherwise(F.lit(0).cast("long")))
+    return each.groupBy(F.col("node").alias("doc")).agg(F.count(F.lit(1)).alias("n"), *(word(i).alias(f"w{i}") for i in range(WORDS)))
+
+
 def first_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: int, most_broadcast: int) -> DataFrame:
-    """(k, n) of the lines that stay, of those that count."""
+    """(doc_id, k, n) of the lines that stay, of those that count."""
     all_lines = lines(docs, least_chars)
-    hashes = F.array_distinct(shingles(F.col("line"), F.xxhash64))
-    #: a node is a hash of the line; the digest keeps apart lines that share one by accident
-    signed = all_lines.select("k", "doc_id", "n", F.xxhash64("line").alias("node"), F.unhex(F.md5("line")).alias("digest"), F.slice(F.sort_array(hashes), 1, SIGNATURE).alias("sig"), F.size(hashes).alias("size"))
-    found = scratch.table(signed.groupBy("node", "digest").agg(F.min(F.struct("doc_id", "k", "n")).alias("at"), F.min("sig").alias("sig"), F.min("size").alias("n")))
+    #: the digest keeps apart lines that share a node by accident; of those the one with the least digest is compared with others
+    named = all_lines.select("k", "doc_id", "n", F.xxhash64("line").alias("node"), F.unhex(F.md5("line")).alias("digest"))
+    found = scratch.table(named.groupBy("node", "digest").agg(F.min(F.struct("doc_id", "k", "n")).alias("at")))
     clash = scratch.table(found.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("main")).where("c > 1").select("node", "main"))
-    members = scratch.table(candidates(found.select("node", "sig", "n"), percent))
+    signed = scratch.table(signatures(all_lines))
+    members = scratch.table(candidates(signed))
     ids = scratch.table(members.select(F.col("doc").alias("node")).distinct())
     texts = among(all_lines.select(F.xxhash64("line").alias("node"), "line"), ids, "node", most_broadcast)
-    texts = scratch.table(texts.groupBy("node").agg(F.min("line").alias("line")))
+    if clash.isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    else:
+        texts = texts.groupBy("node").agg(F.min(F.struct(F.unhex(F.md5("line")).alias("d"), "line")).alias("s")).select("node", "s.line")
+    texts = scratch.table(texts)
     scratch.release()
 
-    #: as strings, of which sets are made by hash tables; those of binaries take the square of their size
-    own_set = lambda c: F.array_distinct(shingles(F.col(c), lambda x: x.cast("string")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        own = among(texts, ends, "node", most_broadcast)
-        of = lambda c: own.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"))
-        p = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", own_set("la").alias("sa"), own_set("lb").alias("sb"))
-        p = p.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-        union = F.col("na") + F.col("nb") - F.col("both")
-        return p.select("a", "b", ((F.col("both") * 100 >= union * percent) & (union > 0)).alias("linked"))
-
-    def sketch(some: DataFrame) -> DataFrame:
-        """Set size and the parity of the set in each of 512 cells."""
-        word = lambda i: F.aggregate(F.filter("s", lambda x: F.shiftrightunsigned(x, 61) == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", x, F.lit(55)).bitwiseAND(63).cast("int"))))
-        sets = among(texts, some.select(F.col("doc").alias("node")), "node", most_broadcast).select("node", hashes.alias("s"))
-        return sets.select(F.col("node").alias("doc"), F.size("s").cast("long").alias("n"), *(word(i).alias(f"w{i}") for i in range(WORDS)))
-
-    #: lines alike are likely to share their other hashes too
-    orders = [F.struct(F.get("sig", F.lit(i)), F.get("sig", F.lit((i + 1) % SIGNATURE))) for i in range(SIGNATURE)]
-    comp = scratch.table(link_groups(members, verify, sketch, WORDS, scratch, percent, orders).select("node", "component"))
-    scratch.drop(texts, members, ids)
+    def closer(t: DataFrame) -> DataFrame:
+        """(doc, f): a line's values of all hash functions, of which lines alike share most."""
+        own = t.select("doc").distinct().join(signed.withColumnRenamed("node", "doc"), "doc")
+        return own.select("doc", F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(2 * BANDS)))).alias("f"))
+
+    verify = lambda pairs: jaccard(pairs, texts, scratch, percent)
+    sketch = lambda some: sketches(among(texts, some.select(F.col("doc").alias("node")), "node", most_broadcast))
+    comp = scratch.table(link_groups(members, verify, sketch, WORDS, scratch, percent, closer, every_pivot=True).select("node", "component"))
+    scratch.drop(texts, members, ids, signed)
     grouped = found.select("node", "digest", "at").join(clash, "node", "left").join(comp, "node", "left")
     own = F.struct(F.coalesce("component", "node").alias("c"), F.when(F.col("digest") != F.col("main"), F.col("digest")).alias("d"))
     first = grouped.groupBy(own.alias("c")).agg(F.min("at").alias("at"))
-    return first.select(F.col("at.k").alias("k"), F.col("at.n").alias("n"))
+    return first.select("at.doc_id", "at.k", "at.n")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 20, most_broadcast: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 1, most_broadcast: int = 500_000) -> DataFrame:
     """docs with n_lines and n_removed, and text without lines that a line before is like.
 
     Lines are linked where the Jaccard similarity of their character shingles is
     at least ``percent`` / 100; of the lines that links reach, the first in the
     order of doc_id and line stays (nulls first). Case and white space around a
-    line don't count. Lines of fewer than ``least_chars`` characters and blank
-    lines always stay. The remaining lines are joined as they were. Null texts
-    stay null, with no lines; empty texts have one line. Rows that repeat both
-    doc_id and text are one document and lose the same lines. An empty
-    table gives no rows. Columns of any other name stay; n_lines and n_removed
-    take the place of columns of that name.
+    line (WHITE) don't count. Blank lines (of white space alone) always stay, and
+    so do lines of fewer than ``least_chars`` characters. The remaining lines are
+    joined as they were. Null texts stay null, with no lines; empty texts have
+    one line. Rows that repeat both doc_id and text are one document and lose the
+    same lines; of ties the smallest line number stays. A very long line is one
+    line: its shingles are rows of an aggregate, which spills. An empty table
+    gives no rows. Columns of any other name stay, whatever it is; n_lines and
+    n_removed take the place of columns of that name.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    one = F.xxhash64("doc_id", "text").alias("k")
-    stay = scratch.table(first_lines(docs.select("doc_id", "text", one), scratch, percent, least_chars, most_broadcast))
+    k = F.xxhash64("doc_id", "text")
+    stay = scratch.table(first_lines(docs.select("doc_id", "text", k.alias("k")), scratch, percent, least_chars, most_broadcast))
     scratch.release()
-    per_doc = stay.groupBy("k").agg(F.collect_list("n").alias("__stay")).withColumnRenamed("k", "__k")
-    d = docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(per_doc, "__k", "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~counts(F.trim(x), least_chars) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
-    d = d.withColumn("__kept", kept)
-    n, left = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
+    per_doc = stay.groupBy("doc_id", "k").agg(F.collect_list("n").alias("stay"))
+    extra = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    d = docs.select(F.struct(*extra).alias("row") if extra else F.lit(None).alias("row"), "doc_id", "text", k.alias("k"))
+    d = d.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.k") == F.col("p.k")), "left")
+    d = d.select("row", "text", F.split("text", "\n", -1).alias("parts"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
+    #: by line number, as looking each line up in the list would take the square of their number
+    exempt = F.filter(F.transform("parts", lambda x, i: F.when(~counts(normal(x), least_chars), i)), lambda i: i.isNotNull())
+    kept = lambda parts: F.transform(F.sort_array(F.concat("stay", exempt)), lambda i: F.get(parts, i))
+    d = d.select("row", "text", F.size("parts").alias("n"), F.when(F.col("text").isNotNull(), kept(F.col("parts"))).alias("kept"))
     null = F.col("text").isNull()
-    d = d.withColumn("n_lines", F.when(null, 0).otherwise(n).cast("long")).withColumn("n_removed", F.when(null, 0).otherwise(n - left).cast("long"))
-    return d.withColumn("text", F.array_join("__kept", "\n")).drop("__k", "__stay", "__kept")
+    n_lines, n_removed = F.when(null, 0).otherwise(F.col("n")).cast("long"), F.when(null, 0).otherwise(F.col("n") - F.size("kept")).cast("long")
+    out = {c: F.col("row").getField(c) for c in extra} | {"text": F.array_join("kept", "\n"), "n_lines": n_lines, "n_removed": n_removed}
+    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return d.select(*(out[c].alias(c) for c in [*order, "n_lines", "n_removed"]))
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
