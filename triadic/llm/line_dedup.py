@@ -2,14 +2,18 @@
 
 A line's set is that of all its character shingles: the ten characters from each
 place on; a line of fewer is its only shingle. Shingles are taken by a generator
-and hashed inside generated code, a row for each, and an aggregate by line keeps
-of every hash function the least value: the line's signature. Functions are two
-64-bit hashes, each with several masks: the least of ``hash xor mask`` is a
-MinHash for any mask. Bands are pairs of a signature's values; lines that share a
-band are candidates. A band need not be compared pair by pair: see
-ngram_join.link_groups, which verifies members against the smallest, then what
-still lies in several components. Verification computes the exact Jaccard
-similarity of the sets, of shingles as 64-bit hashes, again by an aggregate.
+and hashed inside generated code, a row for each. Hashes are dealt into VALUES
+bins, and an aggregate by line keeps the least hash of each: the line's
+signature, by one permutation; an empty bin has the value of the next that is
+not. Only hashes under a bound which leaves a bin LEAST of them on average reach
+the aggregate; a line with so few distinct shingles that bins stay empty is
+signed again without a bound. Short lines, whose bins would share values, also
+get MinHashes of all their shingles: the least of ``hash xor mask`` is one for
+any mask. Bands are pairs of values; lines that share a band are candidates. A
+band need not be compared pair by pair: see ngram_join.link_groups, which
+verifies members against the smallest, then what still lies in several
+components. A pair whose signatures agree too little is no link; of others the
+exact Jaccard similarity of the sets is computed, of shingles as 64-bit hashes.
 Components of the links come from distributed large and small stars, and of each
 component the first line in the order of documents stays.
 """
@@ -27,21 +31,33 @@ from triadic.llm.ngram_join import link_groups
 SHINGLE = 10
 #: Band i is values i and BANDS + i of a signature. Of a pair of similarity 0.8, a band is equal with probability 0.64, and one of all 7 with 0.999.
 BANDS = 7
+VALUES = 2 * BANDS
+LEAST = 3.6
+AGREE = 6  # values that two signatures share, unless they can be taken for dissimilar: of a pair of similarity 0.8, 0.9995 have as many
+SHORT = 24  # shingles of lines that get SHORT_BANDS more; of a pair of similarity 0.8 from 20 shingles on, bins alone find 0.999
+SHORT_BANDS = 4
 WORDS = 8  # of 64 bits in a bitmap
 WHITE = " \t\r\x0b\x0c"  # around a line it doesn't count
 _rng = random.Random(7)
-#: one for each band; their first bits differ, so that they are near different hashes
-MASKS = [(i * 2**64 // BANDS + _rng.getrandbits(61)) % 2**64 - 2**63 for i in range(BANDS)]
+#: one for each short band; their first bits differ, so that they are near different hashes
+MASKS = [(i * 2**64 // SHORT_BANDS + _rng.getrandbits(61)) % 2**64 - 2**63 for i in range(SHORT_BANDS)]
 
 
 def shingles(t: DataFrame, line: str, *keep: str) -> DataFrame:
-    """(keep, h): a row for each character shingle of each line in normal form, as a 64-bit hash, with repeats.
+    """(keep, at, h): a row for each character shingle of each line in normal form, as a 64-bit hash, with its place, with repeats.
 
     In UTF-32 a shingle's place is known, so that taking all of them is linear in the length of a line.
     """
     wide = t.select(*keep, F.encode(line, "UTF-32").alias("wide"), F.greatest(F.length(line) - SHINGLE, F.lit(0)).alias("last"))
     each = wide.select(*keep, "wide", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
-    return each.select(*keep, F.xxhash64(F.substring("wide", 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("h"))
+    return each.select(*keep, "at", F.xxhash64(F.substring("wide", 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("h"))
+
+
+def shingle_array(line: Column) -> Column:
+    """The same of one line as an array. The outer function binds the line in UTF-32, which else would be made for each shingle."""
+    places = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
+    from_each = lambda wide: F.transform(places, lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), from_each), F.lit(0))
 
 
 def normal(line: Column) -> Column:
@@ -51,27 +67,42 @@ def normal(line: Column) -> Column:
 
 def counts(line: Column, least_chars: int) -> Column:
     """Whether a line in normal form takes part: not blank, and of at least so many characters."""
-    return (F.length(line) >= least_chars) & line.rlike(r"(?U)\S")
+    return (F.length(line) >= least_chars) & (F.ascii(line).between(33, 126) | line.rlike(r"(?U)\S"))
 
 
 def lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(k, doc_id, n, line): lines that count (see counts), in normal form; n from 0."""
-    rows = docs.select("k", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
-    return rows.select("k", "doc_id", "n", normal(F.col("line")).alias("line")).where(counts(F.col("line"), least_chars))
+    """(k, doc_id, n, line, node): lines that count (see counts), in normal form; n from 0; a node is a hash of the line."""
+    parts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normal)
+    rows = docs.select("k", "doc_id", F.posexplode(parts).alias("n", "line"))
+    return rows.where(counts(F.col("line"), least_chars)).withColumn("node", F.xxhash64("line"))
 
 
-def signatures(all_lines: DataFrame) -> DataFrame:
-    """(node, m0 to m13) of each line; a node is a hash of the line."""
-    each = shingles(all_lines.select(F.xxhash64("line").alias("node"), "line"), "line", "node")
-    two = each.select("node", "h", F.xxhash64("h").alias("h2"))
-    least = lambda h, i: F.min(F.col(h).bitwiseXOR(F.lit(MASKS[i])))
-    return two.groupBy("node").agg(*(least("h", i).alias(f"m{i}") for i in range(BANDS)), *(least("h2", i).alias(f"m{BANDS + i}") for i in range(BANDS)))
+def signatures(all_lines: DataFrame, bounded: bool = True) -> DataFrame:
+    """(node, times, ids, m0 to m13, x0 to x7) of each line: how often it occurs, how many lines have the node, its values, MinHashes of a short one."""
+    t = all_lines.select("node", "line", F.xxhash64(F.lit(1), "line").alias("other"), (F.length("line") - SHINGLE + 1).alias("n"))
+    if bounded:
+        t = t.withColumn("most", F.when(F.col("n") <= LEAST * VALUES, F.lit(2**63 - 1)).otherwise((2.0**64 * LEAST * VALUES / F.col("n") - 2.0**63).cast("long")))
+    else:
+        t = t.withColumn("most", F.lit(2**63 - 1))
+    each = shingles(t, "line", "node", "other", "n", "most").where("h <= most or at = 0")
+    each = each.withColumn("bin", F.pmod("h", F.lit(VALUES))).withColumn("h2", F.xxhash64("h"))
+    short = lambda c, i: F.min(F.when(F.col("n") <= SHORT, F.col(c).bitwiseXOR(F.lit(MASKS[i]))))
+    signed = each.groupBy("node").agg(
+        F.sum((F.col("at") == 0).cast("long")).alias("times"), F.min("other").alias("lo"), F.max("other").alias("hi"), F.max("n").alias("n"),
+        *(F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"b{i}") for i in range(VALUES)),
+        *(short("h", i).alias(f"x{i}") for i in range(SHORT_BANDS)), *(short("h2", i).alias(f"x{SHORT_BANDS + i}") for i in range(SHORT_BANDS)),
+    )
+    filled = sum((F.col(f"b{i}").isNotNull().cast("int") for i in range(VALUES)), F.lit(0))
+    values = [F.coalesce(*(f"b{(i + d) % VALUES}" for d in range(VALUES))).alias(f"m{i}") for i in range(VALUES)]
+    few = (F.lit(bounded) & (F.col("n") > LEAST * VALUES) & (filled < VALUES // 2)).alias("few")
+    return signed.select("node", "times", (F.col("lo") == F.col("hi")).alias("one"), "n", few, *values, *(f"x{i}" for i in range(2 * SHORT_BANDS)))
 
 
 def candidates(signed: DataFrame) -> DataFrame:
     """(g, doc): lines that share a band, of bands with several lines."""
-    keys = F.array(*(F.xxhash64(F.lit(i), f"m{i}", f"m{BANDS + i}") for i in range(BANDS)))
-    bands = signed.select(F.explode(keys).alias("g"), F.col("node").alias("doc"))
+    keys = [F.xxhash64(F.lit(i), f"m{i}", f"m{BANDS + i}") for i in range(BANDS)]
+    keys += [F.when(F.col(f"x{i}").isNotNull(), F.xxhash64(F.lit(BANDS + i), f"x{i}", f"x{SHORT_BANDS + i}")) for i in range(SHORT_BANDS)]
+    bands = signed.select(F.explode(F.array_compact(F.array(*keys))).alias("g"), F.col("node").alias("doc"))
     several = bands.groupBy("g").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("g")
     return bands.join(several, "g")
 
@@ -82,20 +113,23 @@ def among(t: DataFrame, ids: DataFrame, on: str, most_broadcast: int) -> DataFra
     return t.join(F.broadcast(ids) if small else ids, on, "left_semi")
 
 
-def jaccard(pairs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def jaccard(pairs: DataFrame, texts: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) of pairs (a, b): whether the exact similarity of the sets of texts (node, line) reaches the threshold.
 
-    Both lines of a pair come to one place, by a hash of the pair, and give a row
-    for each shingle and side there; pairs of one much linked line are dealt out.
+    Pairs of lines that aren't short and agree in fewer than AGREE values are taken for dissimilar (at 80 %; in proportion for other thresholds).
     """
-    of = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"))
-    p = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
-    p = p.repartition(partitions(texts.sparkSession), "a", "b")
-    sides = p.select("a", "b", F.posexplode(F.array("la", "lb")).alias("side", "line"))
-    each = shingles(sides, "line", "a", "b", "side")
-    distinct = each.groupBy("a", "b", "h").agg(F.bit_or(F.col("side") + 1).alias("in"))
-    both = distinct.groupBy("a", "b").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("in") == 3).cast("long")).alias("both"))
-    return both.select("a", "b", (F.col("both") * 100 >= F.col("all") * percent).alias("linked"))
+    one_byte = lambda i: F.shiftright(F.col(f"m{i}"), 8).bitwiseAND(F.lit(255))
+    values = signed.select("node", "n", *((one_byte(i) - 128).cast("byte").alias(f"v{i}") for i in range(VALUES)))
+    of = lambda c: values.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in values.columns[1:]))
+    same = sum(((F.col(f"a_v{i}") == F.col(f"b_v{i}")).cast("int") for i in range(VALUES)), F.lit(0))
+    near = (same >= AGREE * percent // 80) | (F.least("a_n", "b_n") <= SHORT)
+    rated = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", near.alias("near"))
+    line = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"))
+    p = rated.where("near").join(line("b"), "b").join(line("a"), "a")
+    p = p.select("a", "b", shingle_array(F.col("la")).alias("sa"), shingle_array(F.col("lb")).alias("sb"))
+    p = p.select("a", "b", F.size(F.array_union("sa", "sb")).alias("all"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    exact = p.select("a", "b", (F.col("both").cast("long") * 100 >= F.col("all").cast("long") * percent).alias("linked"))
+    return exact.unionByName(rated.where("not near").select("a", "b", F.lit(False).alias("linked")))
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -108,40 +142,41 @@ def sketches(texts: DataFrame) -> DataFrame:
     return each.groupBy(F.col("node").alias("doc")).agg(F.count(F.lit(1)).alias("n"), *(word(i).alias(f"w{i}") for i in range(WORDS)))
 
 
-def first_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: int, most_broadcast: int) -> DataFrame:
-    """(doc_id, k, n) of the lines that stay, of those that count."""
+def later_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: int, most_broadcast: int) -> DataFrame:
+    """(doc_id, k, n) of the lines that go.
+
+    Two different lines that share a node by accident (a 64-bit hash; told by
+    another) take no part, so no line goes for another that it isn't like.
+    """
     all_lines = lines(docs, least_chars)
-    #: the digest keeps apart lines that share a node by accident; of those the one with the least digest is compared with others
-    named = all_lines.select("k", "doc_id", "n", F.xxhash64("line").alias("node"), F.unhex(F.md5("line")).alias("digest"))
-    found = scratch.table(named.groupBy("node", "digest").agg(F.min(F.struct("doc_id", "k", "n")).alias("at")))
-    clash = scratch.table(found.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("main")).where("c > 1").select("node", "main"))
     signed = scratch.table(signatures(all_lines))
+    few = scratch.table(signed.where("few").select("node"))
+    if not few.isEmpty():
+        again = signatures(among(all_lines, few, "node", most_broadcast), bounded=False)
+        signed = scratch.table(signed.where("not few").unionByName(again))
+    signed = signed.where("one")
     members = scratch.table(candidates(signed))
-    ids = scratch.table(members.select(F.col("doc").alias("node")).distinct())
-    texts = among(all_lines.select(F.xxhash64("line").alias("node"), "line"), ids, "node", most_broadcast)
-    if clash.isEmpty():
-        texts = texts.dropDuplicates(["node"])
-    else:
-        texts = texts.groupBy("node").agg(F.min(F.struct(F.unhex(F.md5("line")).alias("d"), "line")).alias("s")).select("node", "s.line")
-    texts = scratch.table(texts)
+    ids = scratch.table(members.select(F.col("doc").alias("node")).unionByName(signed.where("times > 1").select("node")).distinct())
+    #: what can go, or can be what another is like; alone lines aren't read again
+    occurs = scratch.table(among(all_lines, ids, "node", most_broadcast))
+    texts = scratch.table(occurs.join(scratch.table(members.select(F.col("doc").alias("node")).distinct()), "node", "left_semi").select("node", "line").dropDuplicates(["node"]))
     scratch.release()
 
     def closer(t: DataFrame) -> DataFrame:
-        """(doc, f): a line's values of all hash functions, of which lines alike share most."""
+        """(doc, f): a line's values, of which lines alike share most."""
         own = t.select("doc").distinct().join(signed.withColumnRenamed("node", "doc"), "doc")
-        return own.select("doc", F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(2 * BANDS)))).alias("f"))
+        return own.select("doc", F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(VALUES)))).alias("f"))
 
-    verify = lambda pairs: jaccard(pairs, texts, scratch, percent)
+    verify = lambda pairs: jaccard(pairs, texts, signed, percent)
     sketch = lambda some: sketches(among(texts, some.select(F.col("doc").alias("node")), "node", most_broadcast))
     comp = scratch.table(link_groups(members, verify, sketch, WORDS, scratch, percent, closer, every_pivot=True).select("node", "component"))
-    scratch.drop(texts, members, ids, signed)
-    grouped = found.select("node", "digest", "at").join(clash, "node", "left").join(comp, "node", "left")
-    own = F.struct(F.coalesce("component", "node").alias("c"), F.when(F.col("digest") != F.col("main"), F.col("digest")).alias("d"))
-    first = grouped.groupBy(own.alias("c")).agg(F.min("at").alias("at"))
-    return first.select("at.doc_id", "at.k", "at.n")
+    at = occurs.select("node", F.struct("doc_id", "k", "n").alias("at")).join(comp, "node", "left").select(F.coalesce("component", "node").alias("c"), "at")
+    first = scratch.table(at.groupBy("c").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("c", "first"))
+    scratch.drop(texts, members, ids)
+    return at.join(first, "c").where("at <> first").select("at.doc_id", "at.k", "at.n")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 1, most_broadcast: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 1, most_broadcast: int = 1_000_000) -> DataFrame:
     """docs with n_lines and n_removed, and text without lines that a line before is like.
 
     Lines are linked where the Jaccard similarity of their character shingles is
@@ -152,26 +187,28 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least_chars: int = 1, most_b
     joined as they were. Null texts stay null, with no lines; empty texts have
     one line. Rows that repeat both doc_id and text are one document and lose the
     same lines; of ties the smallest line number stays. A very long line is one
-    line: its shingles are rows of an aggregate, which spills. An empty table
-    gives no rows. Columns of any other name stay, whatever it is; n_lines and
-    n_removed take the place of columns of that name.
+    line: its shingles are rows of an aggregate; where it is compared, they are
+    an array. An empty table gives no rows. Columns of any other name stay,
+    whatever it is; n_lines and n_removed take the place of columns of that name.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     k = F.xxhash64("doc_id", "text")
-    stay = scratch.table(first_lines(docs.select("doc_id", "text", k.alias("k")), scratch, percent, least_chars, most_broadcast))
+    gone = scratch.table(later_lines(docs.select("doc_id", "text", k.alias("k")), scratch, percent, least_chars, most_broadcast).distinct())
     scratch.release()
-    per_doc = stay.groupBy("doc_id", "k").agg(F.collect_list("n").alias("stay"))
+    per_doc = gone.groupBy("doc_id", "k").agg(F.sort_array(F.collect_list("n")).alias("gone"))
     extra = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     d = docs.select(F.struct(*extra).alias("row") if extra else F.lit(None).alias("row"), "doc_id", "text", k.alias("k"))
     d = d.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.k") == F.col("p.k")), "left")
-    d = d.select("row", "text", F.split("text", "\n", -1).alias("parts"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
-    #: by line number, as looking each line up in the list would take the square of their number
-    exempt = F.filter(F.transform("parts", lambda x, i: F.when(~counts(normal(x), least_chars), i)), lambda i: i.isNotNull())
-    kept = lambda parts: F.transform(F.sort_array(F.concat("stay", exempt)), lambda i: F.get(parts, i))
-    d = d.select("row", "text", F.size("parts").alias("n"), F.when(F.col("text").isNotNull(), kept(F.col("parts"))).alias("kept"))
+    d = d.select("row", "text", "gone", F.split("text", "\n", -1).alias("parts"))
+    #: the stretches between lines that go; looking each line up in the list would take the square of their number
+    ends = F.concat("gone", F.array(F.size("parts")))
+    begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda i: i + 1))
+    kept = lambda parts: F.flatten(F.zip_with(begins, ends, lambda i, j: F.slice(parts, i + 1, j - i)))
+    d = d.select("row", "text", "gone", F.size("parts").alias("n"), F.when(F.col("gone").isNotNull(), kept(F.col("parts"))).alias("kept"))
     null = F.col("text").isNull()
-    n_lines, n_removed = F.when(null, 0).otherwise(F.col("n")).cast("long"), F.when(null, 0).otherwise(F.col("n") - F.size("kept")).cast("long")
-    out = {c: F.col("row").getField(c) for c in extra} | {"text": F.array_join("kept", "\n"), "n_lines": n_lines, "n_removed": n_removed}
+    n_lines, n_removed = F.when(null, 0).otherwise(F.col("n")).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    out = {c: F.col("row").getField(c) for c in extra} | {"text": text, "n_lines": n_lines, "n_removed": n_removed}
     order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return d.select(*(out[c].alias(c) for c in [*order, "n_lines", "n_removed"]))
 
