@@ -10,9 +10,9 @@ the aggregate; a line with so few distinct shingles that bins stay empty is
 signed again without a bound. Short lines, whose bins would share values, also
 get MinHashes of all their shingles: the least of ``hash xor mask`` is one for
 any mask. Bands are pairs of values; lines that share a band are candidates. A
-band need not be compared pair by pair: see ngram_join.link_groups, which
-verifies members against the smallest, then what still lies in several
-components. A pair whose signatures agree too little is no link; of others the
+band is not compared pair by pair: see ngram_join.link_groups, which compares
+members with the smallest, and those of bands that are then in several components
+with some that share a third value. A pair whose signatures agree too little is no link; of others the
 exact Jaccard similarity of the sets is computed, of shingles as 64-bit hashes.
 Components of the links come from distributed large and small stars, and of each
 component the first line in the order of documents stays.
@@ -25,7 +25,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import Scratch, partitions
+from triadic.llm.common import Scratch
 from triadic.llm.ngram_join import link_groups
 
 SHINGLE = 10
@@ -36,7 +36,6 @@ LEAST = 3.6
 AGREE = 6  # values that two signatures share, unless they can be taken for dissimilar: of a pair of similarity 0.8, 0.9995 have as many
 SHORT = 24  # shingles of lines that get SHORT_BANDS more; of a pair of similarity 0.8 from 20 shingles on, bins alone find 0.999
 SHORT_BANDS = 4
-WORDS = 8  # of 64 bits in a bitmap
 WHITE = " \t\r\x0b\x0c"  # around a line it doesn't count
 _rng = random.Random(7)
 #: one for each short band; their first bits differ, so that they are near different hashes
@@ -132,16 +131,6 @@ def jaccard(pairs: DataFrame, texts: DataFrame, signed: DataFrame, percent: int)
     return exact.unionByName(rated.where("not near").select("a", "b", F.lit(False).alias("linked")))
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(doc, n, w0 to w7) of texts (node, line): set size, and the parity of the set in each of 512 cells."""
-    own = shingles(texts.select("node", "line").repartition(partitions(texts.sparkSession), "node"), "line", "node")
-    each = own.groupBy("node", "h").agg(F.count(F.lit(1)).alias("times"))
-    cell = F.call_function("shiftrightunsigned", F.col("h"), F.lit(55))
-    each = each.select("node", F.floor(cell / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit"))
-    word = lambda i: F.bit_xor(F.when(F.col("w") == i, F.col("bit")).otherwise(F.lit(0).cast("long")))
-    return each.groupBy(F.col("node").alias("doc")).agg(F.count(F.lit(1)).alias("n"), *(word(i).alias(f"w{i}") for i in range(WORDS)))
-
-
 def later_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: int, most_broadcast: int) -> DataFrame:
     """(doc_id, k, n) of the lines that go.
 
@@ -159,7 +148,8 @@ def later_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: in
     ids = scratch.table(members.select(F.col("doc").alias("node")).unionByName(signed.where("times > 1").select("node")).distinct())
     #: what can go, or can be what another is like; alone lines aren't read again
     occurs = scratch.table(among(all_lines, ids, "node", most_broadcast))
-    texts = scratch.table(occurs.join(scratch.table(members.select(F.col("doc").alias("node")).distinct()), "node", "left_semi").select("node", "line").dropDuplicates(["node"]))
+    texts = occurs.select("node", "line").dropDuplicates(["node"])
+    texts = scratch.table(texts.join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi"))
     scratch.release()
 
     def closer(t: DataFrame) -> DataFrame:
@@ -168,8 +158,7 @@ def later_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: in
         return own.select("doc", F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(VALUES)))).alias("f"))
 
     verify = lambda pairs: jaccard(pairs, texts, signed, percent)
-    sketch = lambda some: sketches(among(texts, some.select(F.col("doc").alias("node")), "node", most_broadcast))
-    comp = scratch.table(link_groups(members, verify, sketch, WORDS, scratch, percent, closer, every_pivot=True).select("node", "component"))
+    comp = scratch.table(link_groups(members, verify, scratch, percent, closer=closer).select("node", "component"))
     at = occurs.select("node", F.struct("doc_id", "k", "n").alias("at")).join(comp, "node", "left").select(F.coalesce("component", "node").alias("c"), "at")
     first = scratch.table(at.groupBy("c").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("c", "first"))
     scratch.drop(texts, members, ids)
