@@ -55,6 +55,44 @@ def test_loops_repeats_and_empty(spark):
     assert as_dict(d.vertices, "cid") == {1: 1, 2: 2, 3: 3}
 
 
+MORE = {  # fixtures F3 and F6
+    "k4": (K(1, 2, 3, 4), dict.fromkeys(range(1, 5), 3), dict.fromkeys(range(1, 5), 4), 1.0, [1.0, 1.0], dict.fromkeys(range(1, 5), 4)),
+    "k5_k4": (K(1, 2, 3, 4, 5) + K(4, 5, 6, 7)[1:], {1: 6, 2: 6, 3: 6, 4: 9, 5: 9, 6: 3, 7: 3}, {1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 7, 7: 7}, 0.885714, [0.619048, 0.619048], {1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 7, 7: 7}),
+}
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_golden_cliques(spark, name):
+    pairs, t, seed, omega, history, final = MORE[name]
+    d = detect_communities(edges_of(spark, pairs))
+    assert as_dict(d.pruned.vertices, "t") == t and as_dict(d.seed, "cid") == seed and as_dict(d.vertices, "cid") == final
+    assert round(d.metrics["omega"], 6) == omega and [round(x, 6) for x in d.metrics["wcc_history"]] == history
+
+
+def copurchase_of(spark, sf, mod):
+    items = spark.read.parquet(f"/root/testdata/{sf}/lineitem.parquet").where(F.col("l_orderkey") % mod == 0).select("l_orderkey", "l_partkey").distinct()
+    return symmetrize(items.join(items.withColumnRenamed("l_partkey", "dst"), "l_orderkey").select(F.col("l_partkey").alias("src"), "dst"))
+
+
+@pytest.mark.parametrize(("mod", "vertices", "seeds", "history"), [
+    (8, 193, 48, [0.230280, 0.285055, 0.294252, 0.290809]), (32, 117, 34, [0.448555, 0.467050, 0.467050]),
+])
+def test_histories(spark, mod, vertices, seeds, history):
+    """A round that lowers WCC, and one that leaves it, end the loop and are discarded."""
+    d = detect_communities(copurchase_of(spark, "sf0.001", mod))
+    assert d.metrics["vertices"] == vertices and d.seed.where("center").count() == seeds
+    assert [round(x, 6) for x in d.metrics["wcc_history"]] == history and d.metrics["rounds_accepted"] == len(history) - 2
+    assert len(d.metrics["seconds"]["rounds"]) == len(history) - 1
+
+
+def test_retries_are_spent(spark):
+    """The other exit: rounds that raise WCC too little use up the retries."""
+    d = detect_communities(copurchase_of(spark, "sf0.01", 8), max_retries=2)
+    h = d.metrics["wcc_history"]
+    assert [round(x, 6) for x in h] == [0.233259, 0.259940, 0.268916, 0.274479, 0.276787, 0.277976] and d.metrics["rounds_accepted"] == 5
+    assert h[4] / h[3] - 1 < 0.01 and h[5] > h[4]
+
+
 def random_pairs(seed, n=16, p=0.35):
     r = random.Random(seed)
     return [(i, j) for i in range(n) for j in range(i + 1, n) if r.random() < p]
@@ -123,6 +161,20 @@ def test_absorbed_counts_equal_recount(spark, by_vertex):
     assert as_dict(live, "t") == t and as_dict(live, "vt") == vt
     again = I.absorb(state, batch, n_rounds=1)
     assert as_dict(again.vertices, "t") == as_dict(state.vertices, "t")
+    known = {v for x in old for v in x}
+    touched = {v for x in pairs if x not in old for v in x}
+    m, a = state.metrics, again.metrics
+    assert (m["vertices"], m["new_edges"], m["border_vertices"], m["new_vertices"]) == (len(known | touched), len(pairs) - len(old), len(known & touched), len(touched - known))
+    assert m["new_triangles"] == sum(t.values()) // 3 - sum(brute(old)[1].values()) // 3 and a["new_edges"] == a["new_triangles"] == a["new_vertices"] == 0
+    assert m["wcc"] == a["wcc"] > 0 and set(m["seconds"]) == {"merge", "seed", "rounds"}
+
+
+def test_labels_before_a_batch_do_not_matter(spark):
+    """What lets replay leave the bulk unrefined."""
+    pairs = random_pairs(11, 20, 0.3)
+    old, batch = edges_of(spark, [x for x in pairs if max(x) < 15]), spark.createDataFrame([x for x in pairs if max(x) >= 15], "src long, dst long")
+    a, b = I.absorb(I.bootstrap(old), batch, 2), I.absorb(I.counted(old), batch, 2)
+    assert sorted(map(tuple, a.vertices.collect())) == sorted(map(tuple, b.vertices.collect()))
 
 
 def test_graph_updates(spark):

@@ -3,7 +3,7 @@ import glob
 from triadic.operators.detect import detect_communities
 from triadic.operators.graph import symmetrize
 from triadic.sources.edge_list import load_graph, read_edge_list
-from triadic.sources.sinks import write_detection
+from triadic.sources.sinks import write_detection, write_state
 from triadic.streaming import replay as S
 
 
@@ -26,6 +26,9 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         q = S.start(S.edge_stream(spark, str(src), files_per_batch=1), bulk, str(tmp_path / "state"), str(tmp_path / "cp"), n_rounds=1)
         q.awaitTermination()
+    assert sorted(x.name for x in (tmp_path / "state").iterdir()) == ["v1", "v2"]
     s = S.load(spark, str(tmp_path / "state"), 2)
     assert {r["id"]: r["t"] for r in s.vertices.collect()} == {1: 1, 2: 1, 3: 2, 4: 1, 5: 1}
+    out = write_state(s, str(tmp_path / "out"))
+    assert sorted(line for f in glob.glob(out + "/part-*") for line in open(f).read().split()) == sorted(f"{r['id']},{r['cid']}" for r in s.vertices.collect())
     assert read_edge_list(spark, str(src)).count() == 3

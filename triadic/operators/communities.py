@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triadic.functions.metric import density, vertex_wcc
 from triadic.operators.prune import Pruned
+from triadic.operators.triangles import corner_counts, triangles
 
 
 def community_sizes(labels: DataFrame) -> DataFrame:
@@ -39,27 +40,30 @@ def community_stats(labels: DataFrame, own: DataFrame) -> DataFrame:
 
 def community_neighbors(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, neighbors): sorted neighbours in the same community; empty without any."""
-    e = edges.join(labels.select(F.col("id").alias("src"), F.col("cid").alias("cs")), "src").join(labels.select(F.col("id").alias("dst"), F.col("cid").alias("cd")), "dst")
-    n = e.where("cs = cd").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("n"))
+    n = inner_edges(edges, labels).groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("n"))
     return labels.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.array().cast("array<long>")).alias("neighbors"))
 
 
-def community_triangles(tri: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, tc): triangles of a vertex whose corners share its community, for vertices with any."""
-    t = tri
-    for corner in "abc":
-        t = t.join(labels.select(F.col("id").alias(corner), F.col("cid").alias(f"c{corner}")), corner)
-        if corner == "b":
-            t = t.where("ca = cb")
-    t = t.where("ca = cc")
-    return t.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("tc"))
+def inner_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges whose ends share a community."""
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("cid").alias(f"c_{end}"))
+    return edges.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst")
+
+
+def community_triangles(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, tc): triangles of a vertex whose corners share its community, for vertices with any.
+
+    They are the triangles of the edges inside communities, which are few beside
+    all triangles, so the table of those is not shuffled.
+    """
+    return corner_counts(triangles(inner_edges(edges, labels)), "tc")
 
 
 def vertex_scores(p: Pruned, labels: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """(id, cid, wcc) for each vertex of the pruned graph."""
     own = own_degrees(community_degrees(p.edges, labels), labels) if own is None else own
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    v = p.vertices.join(labels.select("id", "cid"), "id").join(own.select("id", "d_own"), "id", "left").join(community_triangles(p.triangles, labels), "id", "left").join(community_sizes(labels), "cid")
+    v = p.vertices.join(labels.select("id", "cid"), "id").join(own.select("id", "d_own"), "id", "left").join(community_triangles(p.edges, labels), "id", "left").join(community_sizes(labels), "cid")
     return v.select("id", "cid", vertex_wcc(F.col("t"), F.col("vt"), zero("tc"), zero("d_own"), F.col("r")).alias("wcc"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -35,10 +36,13 @@ def assemble(edges: DataFrame, p: Pruned, labels: DataFrame) -> DataFrame:
 
 def detect_communities(edges: DataFrame, max_retries: int = 5, max_supersteps: int = 50) -> Detection:
     """edges: symmetric (src, dst); see graph.symmetrize. An empty graph gives empty tables."""
-    scratch = Scratch(edges.sparkSession, "detect")
+    scratch, began = Scratch(edges.sparkSession, "detect"), time.time()
     edges = scratch.table(edges.select("src", "dst"))
     p = prune(edges, scratch)
     seed = scratch.table(initial_partition(p, scratch, max_supersteps))
+    seeded = time.time()
     r = refine(p, seed.select("id", "cid"), scratch, max_retries)
-    metrics = {"vertices": p.vertex_count, "omega": p.omega, "wcc_history": r.history, "rounds_accepted": r.accepted}
+    seconds = {"seed": seeded - began, "rounds": r.seconds, "total": time.time() - began}
+    metrics = {"vertices": p.vertex_count, "omega": p.omega, "wcc_history": r.history, "rounds_accepted": r.accepted, "seconds": seconds}
+    scratch.retain(edges, p.vertices, p.edges, p.triangles, seed, r.labels)
     return Detection(assemble(edges, p, r.labels), edges, p, seed, r.labels, metrics)

@@ -8,16 +8,18 @@ kept, and the movement of a vertex sees all communities next to it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triadic.functions.metric import clustering
+from triadic.operators.communities import global_wcc
 from triadic.operators.detect import assemble, detect_communities
 from triadic.operators.graph import Graph, symmetrize
-from triadic.operators.prune import Pruned
+from triadic.operators.prune import Pruned, prune
 from triadic.operators.refine import rounds
 from triadic.operators.seed import initial_partition
 from triadic.operators.triangles import corner_counts, edge_support
@@ -98,26 +100,46 @@ def updated_vertices(vertices: DataFrame, batch: DataFrame, stats: DataFrame) ->
 
 @dataclass
 class State:
-    """What is carried from batch to batch: vertices (id, t, vt, cc, cid), symmetric edges, supported edges and triangles."""
+    """What is carried from batch to batch: vertices (id, t, vt, cc, cid), symmetric edges, supported edges and triangles.
+
+    metrics: what the last step counted, its omega and WCC, and its seconds.
+    """
 
     vertices: DataFrame
     edges: DataFrame
     supported: DataFrame
     triangles: DataFrame
+    metrics: dict = field(default_factory=dict)
 
 
 def bootstrap(edges: DataFrame, max_retries: int = 5) -> State:
     d = detect_communities(edges, max_retries)
     scratch = Scratch(edges.sparkSession, "bootstrap")
-    return State(scratch.table(d.vertices), d.edges, d.pruned.edges, d.pruned.triangles)
+    return State(scratch.table(d.vertices), d.edges, d.pruned.edges, d.pruned.triangles, d.metrics)
+
+
+def counted(edges: DataFrame) -> State:
+    """A state with the counts of a bootstrap, each vertex a community of its own.
+
+    Absorbing a batch seeds the merged graph anew, so labels before it don't
+    matter to what comes after (see absorb).
+    """
+    scratch = Scratch(edges.sparkSession, "counted")
+    edges = scratch.table(edges.select("src", "dst"))
+    p = prune(edges, scratch)
+    return State(scratch.table(assemble(edges, p, p.vertices.select("id", F.col("id").alias("cid")))), edges, p.edges, p.triangles)
 
 
 def absorb(state: State, batch: DataFrame, n_rounds: int = 5) -> State:
     """The state with the batch's edges; a batch that is absorbed again changes no edge or count.
 
-    Refinement runs ``n_rounds`` rounds without a test of WCC.
+    Triangles, counts and the pruned graph grow by what the batch adds. The seed
+    is that of the merged graph and refinement runs ``n_rounds`` rounds without a
+    test of WCC, as the semantics ask, so labels cost what those rounds cost on
+    the whole graph.
     """
-    scratch = Scratch(state.edges.sparkSession, "absorb")
+    scratch, began = Scratch(state.edges.sparkSession, "absorb"), time.time()
+    touched = scratch.table(batch_vertices(batch))
     fresh = scratch.table(symmetrize(batch.select("src", "dst")).join(state.edges, ["src", "dst"], "left_anti"))
     merged = scratch.table(Graph.from_edges(state.edges.unionByName(fresh)).edges)
     delta = scratch.table(delta_triangles(merged, fresh))
@@ -126,19 +148,31 @@ def absorb(state: State, batch: DataFrame, n_rounds: int = 5) -> State:
     supported = scratch.table(state.supported.unionByName(edge_support(delta).select("src", "dst")).distinct())
     tri = scratch.table(state.triangles.unionByName(delta))
     p = Pruned(vertices.where("t > 0").select("id", "t", "vt", "cc"), supported, tri, vertices.count())
+    counted_at = time.time()
     seed = scratch.table(initial_partition(p, scratch))
+    seeded = time.time()
     labels = rounds(p, seed.select("id", "cid"), scratch, n_rounds)
     out = scratch.table(assemble(merged, p, labels))
-    return State(out, merged, supported, tri)
+    refined = time.time()
+    old = touched.join(state.vertices.select("id"), "id", "left_semi").count()
+    metrics = {
+        "vertices": p.vertex_count, "new_edges": fresh.count() // 2, "border_vertices": old, "new_vertices": touched.count() - old, "new_triangles": delta.count(),
+        "omega": p.omega, "wcc": global_wcc(p, labels), "seconds": {"merge": counted_at - began, "seed": seeded - counted_at, "rounds": refined - seeded},
+    }
+    scratch.retain(out, merged, supported, tri)
+    return State(out, merged, supported, tri, metrics)
 
 
 def replay(edges: DataFrame, ratio: float = 0.8, batches: int = 1, n_rounds: int = 5) -> State:
-    """Splits edges by vertex id into a bulk and a stream of micro-batches, and runs through them."""
+    """Splits edges by vertex id into a bulk and a stream of micro-batches, and runs through them.
+
+    The bulk is counted, not refined: only the labels after the last batch are returned, and they don't depend on it.
+    """
     largest = max_vertex(edges)
     if largest is None:
         return bootstrap(edges)
     split = split_point(largest, ratio)
-    state, stream = bootstrap(bulk_edges(edges, split)), stream_edges(edges, split)
+    state, stream = counted(bulk_edges(edges, split)), stream_edges(edges, split)
     for lo, hi in batch_ranges(largest, split, batches):
         state = absorb(state, batch_edges(stream, lo, hi), n_rounds)
     return state

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,7 @@ class Refined:
     labels: DataFrame
     history: list[float]  # WCC of the seed, then of each round, the discarded one included
     accepted: int
+    seconds: list[float] = field(default_factory=list)  # of each round
 
 
 def refine(p: Pruned, labels: DataFrame, scratch: Scratch, max_retries: int = 5) -> Refined:
@@ -72,12 +74,14 @@ def refine(p: Pruned, labels: DataFrame, scratch: Scratch, max_retries: int = 5)
     more than the threshold restores the retries."""
     state = snapshot(p, labels, scratch)
     best = global_wcc(p, labels, state[1])
-    history, retries, accepted = [best], max_retries, 0
+    history, seconds, retries, accepted = [best], [], max_retries, 0
     while retries > 0:
+        began = time.time()
         new = moved(p, labels, state, scratch)
         new_state = snapshot(p, new, scratch)
         score = global_wcc(p, new, new_state[1])
         history.append(score)
+        seconds.append(time.time() - began)
         retries -= 1
         if not score > best:
             break
@@ -85,7 +89,7 @@ def refine(p: Pruned, labels: DataFrame, scratch: Scratch, max_retries: int = 5)
             retries = max_retries
         scratch.drop(*state)
         labels, state, best, accepted = new, new_state, score, accepted + 1
-    return Refined(labels, history, accepted)
+    return Refined(labels, history, accepted, seconds)
 
 
 def rounds(p: Pruned, labels: DataFrame, scratch: Scratch, n: int) -> DataFrame:

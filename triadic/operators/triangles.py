@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def oriented(edges: DataFrame) -> DataFrame:
     """Each undirected edge once, from the end of lower (degree, id): out-degrees stay below the square root of twice the edges.
 
-    The degree of the source comes from a window over the shuffle that the edges
-    need anyway; the other end's degree is met at the reverse edge, so hubs are
-    not joined back.
+    Degrees are one row a vertex and are joined at both ends; adaptive joins
+    broadcast them where they are small and split a hub's edges where not.
     """
     deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     e = edges.where("src < dst").join(deg.select("src", F.col("d").alias("ds")), "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")

@@ -17,7 +17,8 @@ from triadic.operators.detect import detect_communities
 from triadic.operators.prune import Pruned, prune
 from triadic.operators.seed import initial_partition
 from triadic.scratch import Scratch
-from triadic.sources.edge_list import copurchase
+from triadic.sources.edge_list import copurchase, copurchase_pairs, load_graph
+from triadic.sources.sinks import write_detection, write_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
@@ -163,7 +164,7 @@ def community_neighbors(spark, sf_dir):
 @query
 def community_triangles(spark, sf_dir):
     p, seed, _ = _seeded(spark, sf_dir)
-    return C.community_triangles(p.triangles, seed.select("id", "cid"))
+    return C.community_triangles(p.edges, seed.select("id", "cid"))
 
 
 @query
@@ -258,11 +259,12 @@ def delta_triangle_stats(spark, sf_dir):
 
 @query
 def updated_vertices(spark, sf_dir):
+    """Old vertices come with the labels id - id % 10, so that one sees which are reset."""
     edges, bulk, stream, *_, scratch = _batch(spark, sf_dir)
     p = prune(bulk, scratch)
-    v = G.Graph.from_edges(bulk).vertices.join(p.vertices, "id", "left").select("id", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("vt", F.lit(0)).alias("vt"), F.col("id").alias("cid"))
+    v = G.Graph.from_edges(bulk).vertices.join(p.vertices, "id", "left").select("id", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("vt", F.lit(0)).alias("vt"), (F.col("id") - F.col("id") % 10).alias("cid"))
     stats = I.delta_stats(scratch.table(I.delta_triangles(edges, stream)), p.edges)
-    return I.updated_vertices(v, stream, stats).select("id", "t", "vt", r6("cc"))
+    return I.updated_vertices(v, stream, stats).select("id", "t", "vt", r6("cc"), "cid")
 
 
 @query
@@ -270,6 +272,69 @@ def incremental_partition(spark, sf_dir):
     return I.replay(copurchase(spark, sf_dir)).vertices.select("id", "cid")
 
 
+@query
+def edge_list_scan(spark, sf_dir):
+    """The edges after a trip through an edge list file."""
+    scratch = Scratch(spark, "edges")
+    copurchase_pairs(spark, sf_dir).write.option("sep", " ").csv(f"{scratch.root}/list")
+    return load_graph(spark, f"{scratch.root}/list").edges
+
+
+@query
+def csv_outputs(spark, sf_dir):
+    """All outputs of a detection, written and read back: name, and fields as numbers."""
+    scratch = Scratch(spark, "outputs")
+    where = write_detection(detect_communities(copurchase(spark, sf_dir)), scratch.root)
+    wide = {"triangle_counts": 3, "initial_community_stats": 4}
+    out = None
+    for name, path in where.items():
+        n = wide.get(name, 2)
+        t = spark.read.schema(", ".join(f"f{i} long" for i in range(n))).option("mode", "FAILFAST").csv(path)
+        t = t.select(F.lit(name).alias("output"), *(F.col(f"f{i}") if i < n else F.lit(None).cast("long").alias(f"f{i}") for i in range(4)))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query
+def incremental_output(spark, sf_dir):
+    """The partition after all batches, written and read back."""
+    scratch = Scratch(spark, "outputs")
+    return spark.read.schema("id long, cid long").option("mode", "FAILFAST").csv(write_state(I.replay(copurchase(spark, sf_dir)), scratch.root))
+
+
+@query
+def vertex_update(spark, sf_dir):
+    """Degrees, with the triangles added where a vertex has any."""
+    edges, _ = _edges(spark, sf_dir)
+    g = G.Graph(G.degrees(edges), edges).map_vertices(x=F.col("degree"))
+    return g.join_vertices(T.corner_counts(T.triangles(edges)), {"x": F.col("x") + F.col("new_t")}).vertices
+
+
+@query
+def edge_attributes(spark, sf_dir):
+    """Edges with the triangles of both ends; null where an end has none."""
+    edges, scratch = _edges(spark, sf_dir)
+    t = scratch.table(T.corner_counts(T.triangles(edges)))
+    return G.Graph.from_edges(edges).join_edges_on("src", t, "t", "src_t").join_edges_on("dst", t, "t", "dst_t").edges
+
+
+@query
+def edge_update(spark, sf_dir):
+    """Edges of weight 0, which becomes the support where an edge has any."""
+    edges, _ = _edges(spark, sf_dir)
+    g = G.Graph.from_edges(edges).map_edges(w=F.lit(0).cast("long"))
+    return g.join_edges(T.edge_support(T.triangles(edges)), {"w": F.col("new_support")}).edges
+
+
+@query
+def subgraph(spark, sf_dir):
+    """Edges with an even sum of ends between vertices of more than average degree."""
+    edges, scratch = _edges(spark, sf_dir)
+    degree = scratch.table(G.degrees(edges))
+    mean = F.lit(degree.agg(F.avg("degree")).first()[0])
+    return G.Graph(degree, edges).subgraph(F.col("degree") > mean, (F.col("src") + F.col("dst")) % 2 == 0).edges
+
+
 @query
 def triplets(spark, sf_dir):
     edges, _ = _edges(spark, sf_dir)

@@ -1,15 +1,14 @@
 """Tables in the shared folder that cut the lineage of iterative jobs.
 
 They are ordinary Parquet files, so a lost executor costs no state. The folder is
-that of ``spark.checkpoint.dir``; only where it is unset, one of our own.
+that of ``spark.checkpoint.dir``; only where it is unset, one of our own below the
+warehouse, which a cluster shares as well.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "file://" + os.path.join(tempfile.gettempdir(), "triadic-scratch")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_triadic_scratch"
 
 
@@ -39,6 +36,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def retain(self, *tables: DataFrame) -> None:
+        """Removes all tables but these. They, or what they were selected from, must come from here."""
+        keep = {p.rsplit("/", 2)[-2] for t in tables for p in t.inputFiles()}
+        for n in range(1, self._n + 1):
+            if str(n) not in keep:
+                self._delete(f"{self.root}/{n}")
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._delete(t._scratch_path)

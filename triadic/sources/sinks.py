@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from triadic.operators.communities import community_degrees, community_stats, own_degrees
 from triadic.operators.detect import Detection
 from triadic.operators.graph import degrees
+from triadic.operators.incremental import State
 from triadic.operators.triangles import corner_counts
 
 
@@ -30,3 +31,9 @@ def write_detection(d: Detection, path: str) -> dict[str, str]:
     for name, t in tables.items():
         write_csv(t, f"{path}/{name}")
     return {name: f"{path}/{name}" for name in tables}
+
+
+def write_state(state: State, path: str) -> str:
+    """The partition (id, cid) after the last batch, of all vertices."""
+    write_csv(state.vertices.select("id", "cid"), f"{path}/incremental_partition")
+    return f"{path}/incremental_partition"

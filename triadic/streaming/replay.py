@@ -2,7 +2,7 @@
 
 State lives in Parquet tables, one version for each batch id, so a batch that
 Structured Streaming hands over again after a failure starts from the version
-before it and gives the same tables.
+before it and gives the same tables. The last two versions are kept.
 """
 
 from __future__ import annotations
@@ -31,6 +31,18 @@ def complete(spark: SparkSession, path: str, version: int) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def begun(spark: SparkSession, path: str) -> bool:
+    """Whether there is a complete version."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/complete/_SUCCESS")
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def forget(spark: SparkSession, path: str, version: int) -> None:
+    """Removes a version, if there is one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def edge_stream(spark: SparkSession, path: str, sep: str = " ", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(SCHEMA).option("sep", sep)
     if files_per_batch:
@@ -41,13 +53,14 @@ def edge_stream(spark: SparkSession, path: str, sep: str = " ", files_per_batch:
 def start(stream: DataFrame, bulk: DataFrame, state_path: str, checkpoint: str, n_rounds: int = 5, available_now: bool = True) -> StreamingQuery:
     """Starts absorbing ``stream`` (src, dst) on top of ``bulk`` (symmetric edges). Version 0 is the bulk, version k + 1 follows batch k."""
     spark = stream.sparkSession
-    if not complete(spark, state_path, 0):
+    if not begun(spark, state_path):
         save(bootstrap(bulk), state_path, 0)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
         if not complete(own, state_path, batch_id + 1):
             save(absorb(load(own, state_path, batch_id), batch, n_rounds), state_path, batch_id + 1)
+        forget(own, state_path, batch_id - 1)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
