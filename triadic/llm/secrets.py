@@ -38,21 +38,52 @@ ALLOW = (
 )
 
 
-def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
-    """Array of (start, end, k) of leftmost non-overlapping matches that ``keep`` (a function of the match number) holds for.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op, zero: int) -> Column:
+    """``op`` over each value and all before it, for an array of int; linear, but for block totals.
+
+    A fold that appends to an array copies it at each step, so it runs over blocks of BLOCK values, then over their totals.
+    """
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(zero))
+    fold = lambda part, start: F.aggregate(part, start, lambda acc, x: F.concat(acc, F.array(op(last(acc), x))))
+    none = F.array().cast("array<int>")
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        local = F.transform(blocks, lambda part: fold(part, none))
+        lift = lambda parts: F.zip_with(parts, F.slice(fold(F.transform(parts, last), F.array(F.lit(zero))), F.lit(1), F.size(parts)), lambda part, o: F.transform(part, lambda y: op(o, y)))
+        return F.when(F.size(v) == 0, none).otherwise(F.flatten(let(local, lift)))
+
+    return let(values, whole)
+
+
+def _spans(text: Column, pattern: str, kind: str, hits: Column) -> Column:
+    """Array of (start, kind, end) of leftmost non-overlapping matches; hits: (m, ok) of each, its length and whether it is kept.
 
     The stretches between the matches come from a split by the same pattern, so
     positions are sums of lengths; all lengths are in code points.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
-    zero = F.lit(0)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(zero.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out"))
-    spans = F.aggregate(steps, start, step)["out"]
-    kept = F.filter(spans, lambda s, i: keep(s, i))
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
+
+    def placed(steps: Column) -> Column:
+        ends = running(F.transform(steps, lambda s: s["g"] + s["m"]), lambda x, y: x + y, 0)
+        kept = F.filter(F.zip_with(steps, ends, lambda s, e: F.struct((e - s["m"]).alias("start"), e.alias("end"), s["ok"].alias("ok"))), lambda s: s["ok"])
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
+
+    both = let(hits, lambda h: F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, x: F.struct(g.alias("g"), x["m"].alias("m"), x["ok"].alias("ok"))))
+    return let(both, placed)
+
+
+def _hits(text: Column, pattern: str, ok) -> Column:
+    """(m, ok) of each match; ok is a function of the match."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.length(m).alias("m"), ok(m).alias("ok")))
 
 
 def _bits(c: Column) -> Column:
@@ -61,28 +92,38 @@ def _bits(c: Column) -> Column:
 
 
 def window_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy (bits) of ``window`` characters in a row; of a shorter string, 0.
+    """Highest Shannon entropy (bits) of ``window`` (at most 63) characters in a row; of a shorter string, 0.
 
     State: the count of each character of the alphabet in the window and the sum
     of c log2 c over them, both changed by the two characters that a step moves.
+    Counts are 6 bits each, ten to a long, so a step rewrites a few longs. Characters
+    outside the alphabet count as one.
     """
-    place = lambda i: F.position(F.substr(s, i.cast("int"), F.lit(1)), F.lit(alphabet))  # noqa: E731  from 1
-    empty = F.array_repeat(F.lit(0), len(alphabet) + 1)
-    moved = lambda counts, k, by: F.transform(counts, lambda c, i: F.when(i == k, c + by).otherwise(c))
+    words = -(-(len(alphabet) + 1) // 10)
+    shift = lambda p: (p % 10 * 6).cast("int")
+    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), shift(p))
+    count = lambda n, p: F.call_function("shiftrightunsigned", F.get(n, F.floor(p / 10).cast("int")), shift(p)).bitwiseAND(F.lit(63))
+    moved = lambda n, p, by: F.transform(n, lambda x, k: F.when(k == F.floor(p / 10), x + by * one(p)).otherwise(x))
+
+    def best(places: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            came, went = F.get(places, i), F.get(places, i - window)  # null: none goes
+            a = count(acc["n"], came)
+            up = acc["sum"] - _bits(a) + _bits(a + 1)
+            n = moved(acc["n"], came, 1)
 
-    def step(acc: Column, i: Column) -> Column:
-        came, went = place(i), F.when(i > window, place(i - window)).otherwise(F.lit(-1))
-        a = F.element_at(acc["n"], came + 1)
-        up = acc["sum"] - _bits(a) + _bits(a + 1)
-        counts = moved(acc["n"], came, 1)
-        b = F.when(went >= 0, F.element_at(counts, F.greatest(went, F.lit(0)) + 1)).otherwise(0)
-        down = F.when(went >= 0, up - _bits(b) + _bits(b - 1)).otherwise(up)
-        counts = F.when(went >= 0, moved(counts, went, -1)).otherwise(counts)
-        now = F.when(i >= window, F.log2(F.lit(float(window))) - down / window).otherwise(0.0)
-        return F.struct(counts.alias("n"), down.alias("sum"), F.greatest(acc["best"], now).alias("best"))
+            def leave(m: Column) -> Column:
+                b = count(m, went)
+                down = F.when(went.isNull(), up).otherwise(up - _bits(b) + _bits(b - 1))
+                now = F.when(i >= window - 1, F.log2(F.lit(float(window))) - down / window).otherwise(0.0)
+                return F.struct(F.when(went.isNull(), m).otherwise(moved(m, went, -1)).alias("n"), down.alias("sum"), F.greatest(acc["best"], now).alias("best"))
 
-    start = F.struct(empty.alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step)["best"]
+            return let(n, leave)
+
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.when(F.size(places) < window, 0.0).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step)["best"])
+
+    return let(F.transform(F.split(s, ""), lambda c: F.position(c, F.lit(alphabet))), best)
 
 
 def is_key(s: Column) -> Column:
@@ -99,13 +140,13 @@ def is_key(s: Column) -> Column:
 def found_in(text: Column) -> tuple[Column, Column]:
     """(base, spans) of a text without nulls: arrays of (start, kind, end) in order, kind an index of KINDS."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    value = lambda i: F.length(F.element_at(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), i + 1)) >= 6
-    assign = F.when(text.rlike(_MAY["assign"]), _spans(text, ASSIGN, "assign", lambda s, i: value(i))).otherwise(none)
-    access = F.when(text.rlike(_MAY["access"]), _spans(text, ACCESS, "access", lambda s, i: s["end"] - s["start"] >= 20)).otherwise(none)
+    values = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 6)
+    pairs = F.zip_with(F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)), lambda m: F.length(m)), values, lambda m, ok: F.struct(m.alias("m"), ok.alias("ok")))
+    assign = F.when(text.rlike(_MAY["assign"]), _spans(text, ASSIGN, "assign", pairs)).otherwise(none)
+    access = F.when(text.rlike(_MAY["access"]), _spans(text, ACCESS, "access", _hits(text, ACCESS, lambda m: F.length(m) >= 20))).otherwise(none)
     # a maximal run of 24 and more is the same as a run that has 24 and more
-    hexes = F.when(text.rlike(_MAY["hex"]), _spans(text, HEX[:-1] + "{24,}", "hex", lambda s, i: F.lit(True))).otherwise(none)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: is_key(m))
-    entropy = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, "entropy", lambda s, i: F.element_at(hits, i + 1))).otherwise(none)
+    hexes = F.when(text.rlike(_MAY["hex"]), _spans(text, HEX[:-1] + "{24,}", "hex", _hits(text, HEX[:-1] + "{24,}", lambda m: F.lit(True)))).otherwise(none)
+    entropy = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, "entropy", _hits(text, CANDIDATE, is_key))).otherwise(none)
     base = F.array_sort(F.concat(assign, access, hexes))
     return base, F.array_sort(F.concat(base, entropy))
 
@@ -115,7 +156,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Positions are code points, end exclusive. Null text: no spans. An entropy span
     that a base span covers stands beside it. Nothing is shuffled; rows are
-    scanned each, whether they repeat or not. An empty table gives no rows.
+    scanned each, whether they repeat or not. An empty table gives no rows. Time
+    is in proportion to the length of a text, however many or long its candidates.
     """
     base, spans = found_in(F.coalesce(F.col("text"), F.lit("")))
     return docs.withColumns({"base": base, "spans": spans})
@@ -134,15 +176,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with each maximal run of overlapping spans replaced by ``mask``; other columns stay as they are. Null stays null."""
+    """docs with each maximal run of overlapping spans replaced by ``mask``; other columns stay as they are, whatever their names. Null stays null."""
     text = F.coalesce("text", F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        cut = F.substr(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], cut, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def masked(spans: Column) -> Column:
+        """Stretches between runs. A run begins where a span starts at or after all ends before it; UTF-32 gives a stretch its place."""
+
+        def cut(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), reach)  # the furthest end before each span, and at last that of all
+            starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
+            pieces = F.filter(F.zip_with(before, starts, lambda i, j: F.struct(i.alias("i"), j.alias("j"))), lambda p: p["j"] >= p["i"])
+            wide = lambda w: F.transform(pieces, lambda p: F.decode(F.substring(w, 4 * p["i"] + 1, 4 * (p["j"] - p["i"])), "UTF-32"))
+            return F.array_join(let(F.encode(text, "UTF-32"), wide), mask)
+
+        return let(running(F.transform(spans, lambda s: s["end"]), F.greatest, 0), cut)
 
-    marked = docs.withColumn("__spans", found_in(text)[1])
-    folded = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0)))))
-    return marked.withColumn("text", F.when(F.size("__spans") > 0, folded).otherwise(F.col("text"))).select(*docs.columns)
+    new = let(found_in(text)[1], lambda spans: F.when(F.size(spans) > 0, masked(spans)))
+    return docs.select(*(F.coalesce(new, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
