@@ -132,9 +132,13 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(entries: DataFrame, most: int) -> DataFrame:
-    """Splits the buckets (t, key) with more than ``most`` entries: each entry goes to the tasks of all pairs of blocks that hold its block."""
-    large = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most)
+def in_blocks(entries: DataFrame, most: int, scratch: Scratch, most_broadcast: int = 100_000) -> DataFrame:
+    """Splits the buckets (t, key) with more than ``most`` entries: each entry goes to the tasks of all pairs of blocks that hold its block.
+
+    Large buckets are few and sent to the entries where they lie, so a bucket is split before it is anywhere together.
+    """
+    large = scratch.table(entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most))
+    large = F.broadcast(large) if large.limit(most_broadcast + 1).count() <= most_broadcast else large
     n = F.ceil(F.col("m") / F.lit(most)).cast("int")
     e = entries.join(large, ["t", "key"], "left").withColumn("own", F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")))
     e = e.withColumn("other", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))))
@@ -186,13 +190,14 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["id", "code", "keys"])
 
     codes = classes.select("id", "v").mapInArrow(encode, "id long, code binary, keys array<long>")
-    entries = codes.select("id", "code", F.posexplode("keys").alias("t", "key"))
     w = coder.wide
-    sizes = np.cumsum([w // 8, w // 2, 8, 4 * coder.tables])
+    sizes = np.cumsum([w // 8, w // 2, 8])
+    #: with the keys of the tables before, in which a pair would have met already
+    entries = codes.select("id", "code", F.posexplode("keys").alias("t", "key")).withColumn("code", F.substring("code", 1, F.lit(int(sizes[-1])) + 4 * F.col("t")))
 
-    def unpack(column):
-        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, sizes[-1])
-        code, four, f, keys = np.split(raw, sizes[:-1], 1)
+    def unpack(column, t):
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, int(sizes[-1]) + 4 * t)
+        code, four, f, keys = np.split(raw, sizes, 1)
         f = np.ascontiguousarray(f).view("<f4").astype(float)
         return code, four, f[:, 0], f[:, 1], np.ascontiguousarray(keys).view("<i4")
 
@@ -203,7 +208,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
                 continue
             g = g.combine_chunks()
             t = int(g["t"][0].as_py())
-            code, four, factor, top, keys = unpack(g["code"])
+            code, four, factor, top, keys = unpack(g["code"], t)
             x, q = coder.read(code, top, four)
             i, j = np.nonzero(np.triu(coder.upper(x, q, factor, top, sure) >= cosine, 1))
             if int(g["b1"][0].as_py()) != int(g["b2"][0].as_py()):
@@ -216,7 +221,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
 
     schema = "t int, key long, id long, code binary"
     cols = ["t", "key", "b1", "b2", "own", "id", "code"]
-    hits = scratch.table(_dealt(in_blocks(entries, block).select(*cols)).mapInArrow(estimate, schema).dropDuplicates(["t", "key", "id"]))
+    hits = scratch.table(_dealt(in_blocks(entries, block, scratch).select(*cols)).mapInArrow(estimate, schema).dropDuplicates(["t", "key", "id"]))
     exact_in = hits.join(classes.select("id", "v", "copies"), "id")
 
     def exact(batches):
@@ -226,7 +231,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
                 continue
             g = g.combine_chunks()
             t = int(g["t"][0].as_py())
-            keys = unpack(g["code"])[-1]
+            keys = unpack(g["code"], t)[-1]
             ids, copies, o = g["id"].to_numpy(), g["copies"].to_numpy(), unit(g["v"].to_pylist())
             own = g["own"].to_numpy()
             cross = int(g["b1"][0].as_py()) != int(g["b2"][0].as_py())
@@ -252,7 +257,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
             hit = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[root[hit]]), pa.array(count[hit].astype(np.int64))], names=["a", "b", "n"])
 
-    dealt = _dealt(in_blocks(exact_in, block).select(*cols, "v", "copies"))
+    dealt = _dealt(in_blocks(exact_in, block, scratch).select(*cols, "v", "copies"))
     found = scratch.table(dealt.mapInArrow(exact, "a long, b long, n long"))
     scratch.drop(hits)
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
