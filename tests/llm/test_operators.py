@@ -167,6 +167,27 @@ def test_top_k(spark, cloud):
     assert topk.top_k(vectors(spark, [[1.0], [2.0]]), query_every=1).count() == 2
 
 
+def test_pruned_pairs_are_not_multiplied():
+    """Lengths that fall and a spectrum that falls: most pairs are ruled out, and those that are not give the exact result."""
+    r = np.random.default_rng(5)
+    v = np.floor(256 * r.standard_normal((6000, 64)) * np.exp(-np.arange(64) / 6) * np.exp(-np.arange(6000) / 1500)[:, None])
+    rot = np.linalg.svd(v, full_matrices=False)[2].T
+    block, q = topk.Block(np.arange(6000), v, rot, 12), v[::100]
+    rows, ids, scores = block.top(np.arange(0, 6000, 100), q, np.full(60, -(2**62)), 5)
+    whole = (q @ v.T).astype(np.int64)
+    for i in range(60):
+        best = sorted((-int(s), j) for j, s in enumerate(whole[i]) if j != 100 * i)[:5]
+        assert [(-s, j) for s, j in zip(scores[rows == i].tolist(), ids[rows == i].tolist(), strict=True)] == [(s, j) for s, j in best]
+    assert block.pairs <= block.products < 0.35 * q.shape[0] * v.shape[0], (block.pairs, block.products)
+
+
+def test_vectors_repeated_rows(spark):
+    """Rows that repeat an id: as candidates they stand for themselves; links add up."""
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [2.0, 4.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(x) for x in topk.top_k(df, query_every=1, scale=1.0).collect()) == [(0, 1, 1, 10), (1, 1, 0, 10)]
+    assert sorted(tuple(x) for x in embedding_dedup.near_duplicates(df).collect()) == [(0, 4, 0, True), (1, 2, 0, False)]
+
+
 # 3, 9
 
 
