@@ -38,6 +38,7 @@ _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _FEW = 8  # units of a core that a task sends to the bucket
 _REST = -1  # first of an entry that only says that a task sends more units of its core to be compared
 REMOVE, COMPARE, ENTRY = 0, 1, 2
+BUCKET_BYTES = 32 << 20  # of texts for each bucket; its entries take about two thirds of that
 
 
 class SuffixFamily:
@@ -271,6 +272,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, core: i
     """(k, start, end) of docs (k, text): stretches of bytes to remove, which may overlap."""
     spark = docs.sparkSession
     n = partitions(spark)
+    #: a bucket is in memory as a whole: its number follows the input
+    n = max(n, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     found = scratch.table(
         docs.select("k", "text").mapInArrow(_map_units(length, core, n, chunk), "p int, kind int, data binary")
         .repartition(n, "p").sortWithinPartitions("p").mapInArrow(_bucket(length), "kind int, data binary")
@@ -314,8 +317,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, core: int = 100, keep_tex
     """
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark, "suffixes")
-    #: one number for each row: rows with the same id and text, which share it, lose the same bytes; u tells them apart
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    #: one number for each document: its id where that is a number of its own; else a hash of id and text, which rows that repeat both share
+    whole = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    own_id = whole and docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").isEmpty()
+    rows = docs.select("doc_id", "text", (F.col("doc_id").cast("long") if own_id else F.xxhash64("doc_id", "text")).alias("k"))
     spans = scratch.table(repeated_spans(rows, scratch, length, core, **how))
     per_doc = spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     id_type = dict(docs.dtypes)["doc_id"]
