@@ -339,6 +339,33 @@ def test_quality(spark):
     assert {x["predicted"] for x in quality.classify(docs_of(spark, texts), labels.limit(0)).collect()} == {1}
 
 
+def test_quality_equals_plain_discriminant(spark):
+    """Scores against a discriminant written out with covariances, inverses and determinants; repeated rows, repeated labels, clashing names."""
+    r = random.Random(22)
+    texts = [prose(r, r.choice([1, 5, 60])) if i % 3 else prose(r, 30).upper().replace(" ", " !? ") for i in range(150)] + ["", None, "\n\n", "long " * 50_000]
+    labels = [(i, int(i % 3 > 0 or i % 7 == 0)) for i in range(0, 150, 2)] + [(4, 1), (4, 1), (7, None), (9, 5), (None, 1)]
+    x = quality.statistics([t or "" for t in texts])
+    learn = [(i, y) for i, y in labels if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    n, mean, cov = {}, {}, {}
+    for c in (0, 1):
+        own = x[[i for i, y in learn if y == c]]
+        n[c], mean[c], cov[c] = len(own), own.mean(0), np.cov(own.T, bias=True)
+    both = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    log = {}
+    for c in (0, 1):
+        s = 0.9 * cov[c] + 0.1 * both
+        s = 0.98 * s + 0.02 * np.diag(np.maximum(np.diag(s), 1e-6)) + 1e-6 * np.eye(len(s))
+        d = x - mean[c]
+        log[c] = np.log(n[c] / (n[0] + n[1])) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d)
+    want = 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / 2, -60, 60)))
+    table = spark.createDataFrame([(i, t, 0.5, 1) for i, t in enumerate(texts)] + [(3, texts[3], 0.5, 1)], "doc_id long, text string, score double, x int").repartition(3)
+    got = quality.classify(table, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == len(texts) + 1
+    for row in got:
+        assert abs(row["score"] - want[row["doc_id"]]) < 1e-6 and row["predicted"] == int(row["score"] >= 0.3)
+        assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0)
+
+
 # 7
 
 
@@ -550,6 +577,52 @@ def test_redact_against_brute_force(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and any("[secret]" in x[1] for x in want if x[1])
 
 
+def test_repeated_rows_and_empty_tables(spark, corpus):
+    """Rows that repeat id and text: encoded, packed and scanned each; a copy makes every long string of a text a repeat."""
+    one = "a few words of a text " * 20
+    df = spark.createDataFrame([(1, one, "k"), (1, one, "k"), (2, "", "k"), (None, "no id", "k")], "doc_id long, text string, n_tokens string")
+    got = sorted((x["doc_id"] or 0, x["n_tokens"]) for x in bpe.encode_decode(df, public_tokenizers.path("word_bpe_49k.json")).collect())
+    assert [i for i, _ in got] == [0, 1, 1, 2] and got[1] == got[2] and got[3][1] == 0
+    assert bpe.encode_decode(docs_of(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    packed = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted(x["doc_id"] or 0 for x in packed) == [0, 1, 1, 2] and len({(x["sequence_id"], x["offset"]) for x in packed}) == 4
+    assert sorted(x["doc_id"] or 0 for x in secrets.report(df).collect()) == [0, 1, 1, 2]
+    gone = sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"]) for x in suffix_dedup.remove_repeats(df, length=200).collect())
+    assert gone == [(0, 5, 0), (1, 440, 440), (1, 440, 440), (2, 0, 0)]
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_plan_under_binding_capacities(rule):
+    """Every bin keeps all three capacities, each of which binds somewhere, and no two bins could be one."""
+    r = random.Random(3)
+    counts: dict[int, int] = {}
+    for _ in range(3000):
+        n = r.choice([r.randrange(1, 40), r.randrange(40, 300), r.randrange(300, 701)])
+        counts[n] = counts.get(n, 0) + 1
+    cap = (1024, 12, 500_000)
+    bins: dict[int, list] = {}
+    for length, _, times, first, offset in packing.plan(counts, cap, rule=rule):
+        for b in range(first, first + times):
+            bins.setdefault(b, []).append((offset, length))
+    total = np.zeros(3)
+    binds = np.zeros(3, int)
+    sizes = []
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        size = np.asarray([at, len(own), sum(x * x for _, x in own)])
+        assert (size <= cap).all()
+        binds += size >= 0.95 * np.asarray(cap)
+        total += size
+        sizes.append(size)
+    assert sorted(x for own in bins.values() for _, x in own) == sorted(n for n, c in counts.items() for _ in range(c))
+    assert (binds > 0).all() and len(bins) <= 1.15 * max(np.ceil(total / cap))
+    sizes = np.asarray(sorted(sizes, key=lambda s: (s / cap).max()))
+    assert ((sizes[0] + sizes[1:]) > cap).any(1).all()  # the emptiest bin fits into no other
+
+
 # 10
 
 
