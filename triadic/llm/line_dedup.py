@@ -153,9 +153,9 @@ def later_lines(docs: DataFrame, scratch: Scratch, percent: int, least_chars: in
     scratch.release()
 
     def closer(t: DataFrame) -> DataFrame:
-        """(doc, f): a line's values, of which lines alike share most."""
+        """(doc, f): half of a line's values, one of each band. Two lines that agree in AGREE values, and share a band, share one of another band's here but for a hundredth."""
         own = t.select("doc").distinct().join(signed.withColumnRenamed("node", "doc"), "doc")
-        return own.select("doc", F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(VALUES)))).alias("f"))
+        return own.select("doc", F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(BANDS)))).alias("f"))
 
     verify = lambda pairs: jaccard(pairs, texts, signed, percent)
     comp = scratch.table(link_groups(members, verify, scratch, percent, closer=closer).select("node", "component"))
