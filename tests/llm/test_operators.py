@@ -214,6 +214,37 @@ def test_bpe_equals_library(name):
         assert [ids(x).tobytes() for x in texts] == want
 
 
+def test_bpe_joins_that_disagree(tmp_path):
+    """A vocabulary whose tokens go over spaces, taken for one whose tokens don't: joins show it, and texts are encoded whole."""
+    from tokenizers import Tokenizer, models
+
+    letters = "abc"
+    merges = [(x, " ") for x in letters] + [(x + " ", y) for x in letters for y in letters]
+    tokens = [*letters, " ", *(x + y for x, y in merges)]
+    path = str(tmp_path / "crossing.json")
+    Tokenizer(models.BPE({t: i for i, t in enumerate(tokens)}, merges)).save(path)
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(1, 6))) for _ in range(n)) for n in (3000, 5000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts)]
+    known = bpe.ChunkEncoder(path)
+    assert not known.splits and known.encode(texts) == want
+    taken = bpe.ChunkEncoder(path)
+    taken.splits, taken.cut = True, bpe.pieces
+    assert taken.encode(texts) == want and taken.stats["again"] >= 2 and taken.stats["joins"] > 0
+
+
+def test_bpe_joins_agree():
+    """Chunks are found again in other texts, joins agree at the first attempt, and a longer stretch gives the same."""
+    r = random.Random(8)
+    a, b, c = prose(r, 3000), prose(r, 3000), prose(r, 3000)
+    enc = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [a + b, b + c, "x" + a + c, a]
+    got = enc.encode(texts)
+    assert got == enc._library(texts) and enc.stats["again"] == enc.stats["whole"] == 0 and enc.stats["joins"] > 20
+    assert enc.stats["chunks_new"] < 0.7 * enc.stats["chunks"]
+    assert bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), places=16).encode(texts) == got
+
+
 def test_merges_give_each_token_itself():
     """What makes merging by rank equal to merging by the list: checked for both vocabularies."""
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):

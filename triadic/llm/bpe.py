@@ -3,16 +3,20 @@
 A text is cut where a rolling hash of its last bytes hits a mask, so the cuts
 depend on the content alone and copies, shared passages and edited documents
 fall into the same chunks. Each chunk is encoded once in a worker and then read
-from a bounded cache. A cut may fall inside a word, so the tokens around a chunk
-join are not those of the whole text: the join is repaired by taking the ends of
-both chunks up to a place where the tokenizer splits whatever stands around it,
-and encoding that stretch again; while a side has no such place, the stretch
-takes in its whole chunk and goes on. The result equals that of the whole text.
-
-Chunks that are new are cut at all such places into pieces, and pieces are
-looked up in a second bounded cache. Of what is left, plain words of a lower-case
-vocabulary with word ends go through its own merges (see WordMerges), the rest
-through the tokenizers library in one call for a batch of documents.
+from a bounded cache. A cut may fall inside a word, so tokens around a chunk join
+are not those of the whole text: the join is repaired by encoding a stretch over
+it again, by the library in one piece. The stretch takes in some words of both
+chunks beyond what the join can change, and its tokens there must be the chunks'
+own, on both sides. Where they are not, the text's stretches are made twice as
+long, until they agree or the text is one stretch. The result equals that of the
+whole text.
+
+Inside a chunk, pieces between places where the vocabulary's rules end a token
+(_SAFE) are looked up in a second bounded cache; agreement at joins checks these
+rules too. Of what is new, plain words of a lower-case vocabulary with word ends
+go through its own merges (see WordMerges), the rest through the tokenizers
+library in one call for a batch of documents. A vocabulary with other rules, and
+a text with a special string, are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import os
 import re
 import struct
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,7 +180,7 @@ class WordMerges:
 class ChunkEncoder:
     """ids of whole texts as the library gives them, as bytes (little-endian unsigned 32 bit)."""
 
-    def __init__(self, path: str, cache_mb: int = 96):
+    def __init__(self, path: str, cache_mb: int = 96, places: int = 4):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -194,7 +199,8 @@ class ChunkEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.piece = _Bounded(cache_mb * 500_000)
         self.chunk = _Bounded(cache_mb * 500_000)
-        self.stats = {"texts": 0, "whole": 0, "chunks": 0, "chunks_new": 0, "joins": 0, "pieces_new": 0}
+        self.stats = {"texts": 0, "whole": 0, "chunks": 0, "chunks_new": 0, "joins": 0, "again": 0, "pieces_new": 0}
+        self.places = places
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -216,79 +222,97 @@ class ChunkEncoder:
                 put(p, ids)
         return rest
 
-    def _plan(self, text: str) -> list:
-        """The text as chunk bodies ("c", body) and repaired joins ("j", stretch)."""
-        out, carry, at = [], "", 0
+    def _steps(self, text: str, places: int) -> list:
+        """("c", body) of chunks and ("j", stretch, own before, own after) of joins.
+
+        A stretch goes from the ``places``-th last safe place of a chunk to the
+        ``places``-th of the next. Own are the outer halves of the two sides. A
+        chunk with fewer than twice as many goes with the next, the last with
+        the one before; so a text may be a single chunk.
+        """
+        safe = [m.start() for m in _SAFE.finditer(text)]
+        ends, first = [], 0  # (end, safe places before it) of chunks
         for end in cuts(text):
-            c = text[at:end]
-            at = end
-            self.stats["chunks"] += 1
-            first = _SAFE.search(c)
-            if first is None:
-                carry += c  # no place here: the stretch takes in the whole chunk
-                continue
-            i = first.start()
-            tail = self._last_safe(c, i)
-            stretch = carry + c[:i]
-            if stretch:
-                out.append(("j", stretch))
-            if tail > i:
-                out.append(("c", c[i:tail]))
-            carry = c[tail:]
-        if carry:
-            out.append(("j", carry))
+            last = bisect_left(safe, end, first)
+            if last - first >= 2 * places:
+                ends.append((end, last))
+                first = last
+        ends[-1:] = [(len(text), len(safe))]
+        half, begin, out = places // 2, 0, []
+        for _, n in ends[:-1]:
+            i, own_i, own_j, j = safe[n - places], safe[n - places + half], safe[n + places - 1 - half], safe[n + places - 1]
+            if i > begin:
+                out.append(("c", text[begin:i]))
+            out.append(("j", text[i:j], text[i:own_i], text[own_j:j]))
+            begin = j
+        if begin < len(text):
+            out.append(("c", text[begin:]))
         return out
 
-    @staticmethod
-    def _last_safe(c: str, least: int) -> int:
-        i = c.rfind(" ")
-        while i > least:
-            if _SAFE.match(c, i):
-                return i
-            i = c.rfind(" ", 0, i)
-        return least
+    def _pieces(self, lists: list[list[str]]) -> None:
+        """Sees to it that all these pieces are known."""
+        missing = [p for p in {p for ps in lists for p in ps} if not self.piece.has(p)]
+        self.stats["pieces_new"] += len(missing)
+        if self.merges:
+            missing = self._by_merges(missing)
+        for p, ids in zip(missing, self._library(missing), strict=True):
+            self.piece.put(p, ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.piece.turn()
-        self.chunk.turn()
-        st = self.stats
-        plans: list = []
+    def _try(self, texts: list[str], places: int) -> list[bytes | None]:
+        """ids of each text; None where a join did not agree with the chunks on both sides."""
+        st, plans, whole = self.stats, [], []
         fresh: dict[bytes, list[str]] = {}
-        whole: list[str] = []
+        joins: dict[tuple[str, str, str], bytes | None] = {}
         for text in texts:
-            st["texts"] += 1
-            if not self.splits or any(a in text for a in self.added):  # special strings take precedence over all splitting
+            steps = self._steps(text, places)
+            special = not self.splits or any(a in text for a in self.added)  # special strings take precedence over all splitting
+            if special or (places > self.places and len(steps) < 2):
                 st["whole"] += 1
                 plans.append(len(whole))
                 whole.append(text)
                 continue
             plan = []
-            for kind, s in self._plan(text):
-                if kind == "c":
+            for step in steps:
+                if step[0] == "c":
+                    s = step[1]
                     key = hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    st["chunks"] += 1
                     if key not in fresh and not self.chunk.has(key):
                         st["chunks_new"] += 1
                         fresh[key] = self.cut(s)
                     plan.append(key)
                 else:
                     st["joins"] += 1
-                    plan.append(self.cut(s))
+                    joins[step[1:]] = None
+                    plan.append(step[1:])
             plans.append(plan)
-        known = self.piece
-        wanted = {p for ps in fresh.values() for p in ps}
-        wanted.update(p for plan in plans if isinstance(plan, list) for ps in plan if isinstance(ps, list) for p in ps)
-        missing = [p for p in wanted if not known.has(p)]
-        st["pieces_new"] += len(missing)
-        if self.merges:
-            missing = self._by_merges(missing)
-        for p, ids in zip(missing, self._library(missing), strict=True):
-            known.put(p, ids)
-        get = known.__getitem__
+        own = {s: self.cut(s) for _, *sides in joins for s in sides}
+        self._pieces([*fresh.values(), *own.values()])
+        get = self.piece.__getitem__
         for key, ps in fresh.items():
             self.chunk.put(key, b"".join(map(get, ps)))
-        done = self._library(whole)
-        of = self.chunk.__getitem__
-        return [done[plan] if isinstance(plan, int) else b"".join([of(x) if isinstance(x, bytes) else b"".join(map(get, x)) for x in plan]) for plan in plans]
+        for join, ids in zip(joins, self._library([j[0] for j in joins]), strict=True):
+            before, after = (b"".join(map(get, own[s])) for s in join[1:])
+            if len(ids) >= len(before) + len(after) and ids.startswith(before) and ids.endswith(after):
+                joins[join] = ids
+        done, of, out = self._library(whole), self.chunk.__getitem__, []
+        for plan in plans:
+            parts = [done[plan]] if isinstance(plan, int) else [of(x) if isinstance(x, bytes) else joins[x] for x in plan]
+            out.append(None if None in parts else b"".join(parts))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each text. Texts with a join that does not agree are tried again with stretches twice as long, at last as a whole."""
+        self.piece.turn()
+        self.chunk.turn()
+        self.stats["texts"] += len(texts)
+        out, places = self._try(texts, self.places), self.places
+        while again := [i for i, x in enumerate(out) if x is None]:
+            places *= 2
+            self.stats["again"] += len(again)
+            for i, ids in zip(again, self._try([texts[i] for i in again], places), strict=True):
+                out[i] = ids
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.tok.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
