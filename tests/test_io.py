@@ -2,6 +2,7 @@ import glob
 
 from triadic.operators.detect import detect_communities
 from triadic.operators.graph import symmetrize
+from triadic.scratch import Scratch
 from triadic.sources.edge_list import load_graph, read_edge_list
 from triadic.sources.sinks import write_detection, write_state
 from triadic.streaming import replay as S
@@ -32,3 +33,11 @@ def test_stream(spark, tmp_path):
     out = write_state(s, str(tmp_path / "out"))
     assert sorted(line for f in glob.glob(out + "/part-*") for line in open(f).read().split()) == sorted(f"{r['id']},{r['cid']}" for r in s.vertices.collect())
     assert read_edge_list(spark, str(src)).count() == 3
+
+
+def test_few_rows_make_few_files(spark):
+    scratch = Scratch(spark, "files")
+    for rows, n in ((100, 1), (10**9, 8), (None, 8)):
+        t = scratch.table(spark.range(100).repartition(8), rows=rows)
+        assert len(t.inputFiles()) == n and sorted(r["id"] for r in t.collect()) == list(range(100))
+    scratch.close()

@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_triadic_scratch"
 
 
+#: Rows of a file for which a small table is not split further.
+FILE_ROWS = 100_000
+
+
 class Scratch:
     """``table`` writes and rereads a DataFrame; ``drop`` removes it; what is left goes with the driver's Python."""
 
@@ -28,7 +32,10 @@ class Scratch:
         self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.close)
 
-    def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+        """rows: at least as many as df has, if known and cheap to make. Then the last stage has no more tasks, and files, than so many rows need."""
+        if rows is not None and (n := rows // FILE_ROWS + 1) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(n)
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.option("compression", compression).parquet(path)
