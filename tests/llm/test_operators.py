@@ -711,3 +711,22 @@ def test_suffix_family():
         seen += [buffer[s : s + 6].tobytes() for s in starts]
     assert family.merges > 5 and len(family.levels) < 8
     assert family.matched.tolist() == [seen.count(x) > 1 for x in seen]
+
+
+def test_groups_that_closer_keys_leave_open_are_compared_whole(spark, monkeypatch):
+    """One large group whose links neither the smallest member nor a few first ones hold: all are found, in several blocks, and may() is heeded."""
+    from triadic.llm.common import Scratch
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 25)
+    members = spark.range(2, 120).select(F.lit(7).cast("long").alias("g"), F.col("id").alias("doc"))
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs)
+        return pairs.select("a", "b", (F.col("a").bitwiseXOR(F.col("b")) == 1).alias("linked"))
+
+    closer = lambda t: t.select("doc", F.lit(0).cast("long").alias("f")).distinct()
+    sketch = lambda ids: ids.select("doc", F.expr("doc div 2").alias("half"))
+    comp = ngram_join.link_groups(members, verify, Scratch(spark, "t"), 80, sketch, closer=closer, may=lambda a, b: F.col(f"{a}_half") == F.col(f"{b}_half"))
+    assert {r["node"]: r["component"] for r in comp.collect()} == {i: i - i % 2 for i in range(2, 120)}
+    assert seen[-1].count() <= 59  # pairs that may() leaves out don't reach verify
