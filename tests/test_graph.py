@@ -204,3 +204,33 @@ def test_queries_read_all_orders(spark, tmp_path):
     assert as_dict(q["triangle_count"](spark, str(tmp_path)), "t") == {v: t.get(v, 0) for v in adj}
     assert as_dict(q["pruned_vertices"](spark, str(tmp_path)), "vt") == vt
     assert as_dict(q["updated_vertices"](spark, str(tmp_path)), "t") == {v: t.get(v, 0) for v in adj}
+
+
+@pytest.mark.parametrize(("heavy", "group_edges"), [(256, 2_000_000), (3, 20), (256, 7), (6, 1)])
+def test_triangles_by_groups(spark, monkeypatch, heavy, group_edges):
+    """Many groups, ids far apart and negative, heavy vertices: every triangle once, and those with a new edge."""
+    from triadic.operators import triangles as T
+
+    monkeypatch.setattr(T, "HEAVY", heavy)
+    monkeypatch.setattr(T, "GROUP_EDGES", group_edges)
+    name = lambda v: (v - 5) * 10**15 if v % 3 else v
+    pairs = [(name(a), name(b)) for a, b in random_pairs(5, 24, 0.4)] + [(10**17, name(v)) for v in range(24)]
+    all_edges = {frozenset(p) for p in pairs}
+    ids = sorted({v for p in pairs for v in p})
+    want = {t for t in itertools.combinations(ids, 3) if all(frozenset(p) in all_edges for p in itertools.combinations(t, 2))}
+    e = edges_of(spark, pairs)
+    got = [tuple(r) for r in triangles(e).collect()]
+    assert len(got) == len(want) and set(got) == want
+    new = {frozenset(p) for p in pairs[::9]}
+    got = [tuple(r) for r in I.delta_triangles(e, edges_of(spark, pairs[::9])).collect()]
+    want = {t for t in want if any(frozenset(p) in new for p in itertools.combinations(t, 2))}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_no_table_of_wedges(spark):
+    """A star without triangles has the square of its edges in wedges at its middle; none is shuffled, and nothing is joined but degrees."""
+    e = edges_of(spark, [(0, i) for i in range(1, 50)])
+    tri = triangles(e)
+    assert tri.count() == 0
+    plan = tri._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from triadic.functions.metric import clustering
 from triadic.operators.communities import global_wcc
 from triadic.operators.detect import assemble, detect_communities
-from triadic.operators.graph import Graph, symmetrize
+from triadic.operators.graph import Graph, both_ways, symmetrize
 from triadic.operators.prune import Pruned, prune
 from triadic.operators.refine import rounds
 from triadic.operators.seed import initial_partition
-from triadic.operators.triangles import corner_counts, edge_support
+from triadic.operators.triangles import corner_counts, edge_support, triangles
 from triadic.scratch import Scratch
 
 
@@ -67,19 +67,23 @@ def new_vertices(vertices: DataFrame, batch: DataFrame) -> DataFrame:
     return batch_vertices(batch).join(vertices.select("id"), "id", "left_anti")
 
 
-def delta_triangles(merged: DataFrame, fresh: DataFrame) -> DataFrame:
+def delta_triangles(merged: DataFrame, fresh: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
     """(a, b, c) of the triangles of ``merged`` that hold an edge of ``fresh`` (both symmetric).
 
-    Each new edge meets the neighbours of its end of the smaller degree, so a new
-    edge at a hub costs no more than its other end has neighbours.
+    All edges of such a triangle have an end that a new edge has as well, so where
+    those ends are few only edges at them are searched.
     """
-    deg = merged.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    e = fresh.where("src < dst").join(deg.select("src", F.col("deg").alias("ds")), "src").join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("dd")), "dst")
-    small = e.select(F.when(F.col("ds") <= F.col("dd"), F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(F.col("ds") <= F.col("dd"), F.col("dst")).otherwise(F.col("src")).alias("y"))
-    wedge = small.join(merged.select(F.col("src").alias("x"), F.col("dst").alias("z")), "x").where("z <> y")
-    found = wedge.join(merged.select(F.col("src").alias("y"), F.col("dst").alias("z")), ["y", "z"], "left_semi")
-    s = F.array_sort(F.array("x", "y", "z"))
-    return found.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c")).distinct()
+    scratch = Scratch(merged.sparkSession, "delta")
+    ids = scratch.table(fresh.select(F.col("src").alias("id")).distinct())
+    near = merged.where("src < dst").select("src", "dst")
+    if ids.limit(most_broadcast + 1).count() <= most_broadcast:
+        for end in ("src", "dst"):
+            near = near.join(F.broadcast(ids.select(F.col("id").alias(end), F.lit(True).alias(f"at_{end}"))), end, "left")
+        near = near.where("at_src or at_dst").select("src", "dst")
+    marked = near.withColumn("fresh", F.lit(False)).unionByName(fresh.where("src < dst").select("src", "dst", F.lit(True).alias("fresh")))
+    known = scratch.table(marked.groupBy("src", "dst").agg(F.max("fresh").alias("fresh")))
+    scratch.release()
+    return triangles(both_ways(known))
 
 
 def delta_stats(delta: DataFrame, supported: DataFrame) -> DataFrame:
