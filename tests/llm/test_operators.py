@@ -469,6 +469,27 @@ def test_recall_at_the_threshold(spark):
     assert 0.9965 * len(pairs) <= found <= len(pairs), found
 
 
+def test_sketches_rule_out_no_similar_pair(spark):
+    """Every similar pair is linked by jaccard, whatever its signatures: some of these share fewer than 6 of 14 values. Of pairs that are half alike few are compared."""
+    r = random.Random(23)
+    pairs = []
+    for _ in range(6000):
+        line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.choice([36, 40, 99, 400])))
+        pairs.append((line, line[(len(line) - 9) // 5 :] + "#" * (r.random() < 0.2)))
+    half = [(x, x[: len(x) * 2 // 3] + "".join(r.choices("0123456789", k=len(x) // 3))) for x, _ in pairs[:500]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs + half)], "i long, x string, y string").repartition(4)
+    texts = df.select((F.col("i") * 2).alias("node"), F.col("x").alias("line")).unionByName(df.select((F.col("i") * 2 + 1).alias("node"), F.col("y").alias("line")))
+    ids = df.select((F.col("i") * 2).alias("a"), (F.col("i") * 2 + 1).alias("b"))
+    found = {x["a"] // 2: x["linked"] for x in line_dedup.jaccard(ids, texts, line_dedup.sketches(texts), 80).collect()}
+    similar = {i for i, (x, y) in enumerate(pairs + half) if len(every_shingle(x) & every_shingle(y)) * 100 >= 80 * len(every_shingle(x) | every_shingle(y))}
+    assert {i for i, linked in found.items() if linked} == similar and len(similar) > 3000
+    assert sum(i >= len(pairs) for i in found) <= 25
+    signed = line_dedup.signatures(texts.select("node", "line")).collect()
+    value = {x["node"]: [x[f"m{i}"] for i in range(14)] for x in signed}
+    agree = [sum(u == v for u, v in zip(value[2 * i], value[2 * i + 1], strict=True)) for i in similar if len(pairs[i][0]) - 9 > 24]
+    assert min(agree) < 6
+
+
 def test_short_lines_of_the_query(spark, tmp_path):
     from triadic.llm import queries
 
