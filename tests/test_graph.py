@@ -234,3 +234,27 @@ def test_no_table_of_wedges(spark):
     assert tri.count() == 0
     plan = tri._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan
+
+
+def test_slices_change_no_result(spark, monkeypatch):
+    """Support, pruning, seed and degrees by community made in several slices, and in one; each table of slices is whole."""
+    import random
+
+    from triadic import scratch as S
+    from triadic.operators import graph, prune, refine, seed, triangles
+
+    r = random.Random(3)
+    pairs = spark.createDataFrame([(r.randrange(40), r.randrange(40)) for _ in range(300)], "src long, dst long")
+    edges = graph.symmetrize(pairs).localCheckpoint()
+
+    def results():
+        s = S.Scratch(spark, "t")
+        p = prune.prune(edges, s)
+        labels = s.table(seed.initial_partition(p, s))
+        deg, own = refine.snapshot(p, labels.select("id", "cid"), s)
+        support = triangles.edge_support(triangles.triangles(edges, s), s)
+        return [sorted(map(tuple, t.collect())) for t in (p.edges, p.vertices, labels, deg, own, support)]
+
+    once = results()
+    monkeypatch.setattr(S, "SLICE_ROWS", 50)
+    assert results() == once and all(once)
