@@ -258,3 +258,44 @@ def test_slices_change_no_result(spark, monkeypatch):
     once = results()
     monkeypatch.setattr(S, "SLICE_ROWS", 50)
     assert results() == once and all(once)
+
+
+def test_no_table_of_triangles(spark, tmp_path, monkeypatch):
+    """In a clique triangles outnumber edges by far; pruned_edges and edge_update store no table of them."""
+    from triadic import scratch as S
+    from triadic.plans import queries as P
+
+    spark.createDataFrame([(1, i) for i in range(40)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    most, table, sliced = [], S.Scratch.table, S.Scratch.sliced
+    monkeypatch.setattr(S.Scratch, "table", lambda self, *a, **k: most.append((t := table(self, *a, **k)).count()) or t)
+    monkeypatch.setattr(S.Scratch, "sliced", lambda self, *a, **k: most.append((t := sliced(self, *a, **k)).count()) or t)
+    assert P.queries()["pruned_edges"](spark, str(tmp_path)).count() == 40 * 39
+    assert {r["w"] for r in P.queries()["edge_update"](spark, str(tmp_path)).collect()} == {38}
+    assert max(most) <= 40 * 39 < math.comb(40, 3)
+
+
+def test_shortcuts_equal_whole_computation(spark, monkeypatch):
+    """Supports without triangles, own degrees without those by community, movements by slices, and all of it without broadcasts."""
+    from triadic import scratch as S
+    from triadic.operators import refine as R
+    from triadic.operators.triangles import supports
+
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    pairs = random_pairs(11, 30, 0.3)
+    adj, t, _ = brute(pairs)
+    for slice_rows, broadcast in ((4_000_000, 1_500_000), (100, 0)):
+        monkeypatch.setattr(S, "SLICE_ROWS", slice_rows)
+        monkeypatch.setattr(S, "MOST_BROADCAST", broadcast)
+        s = S.Scratch(spark, "t")
+        edges = s.table(edges_of(spark, pairs))
+        found, n = supports(edges, s)
+        assert n == len(adj) and rows(found) == sorted((a, b, len(adj[a] & adj[b])) for a in adj for b in adj[a] if a < b)
+        p = prune(edges, s, keep_triangles=False)
+        assert p.triangles is None and as_dict(p.vertices, "t") == t
+        seed = s.table(initial_partition(p, s))
+        labels = seed.select("id", "cid")
+        deg, own = snapshot(p, labels, s)
+        assert rows(own) == rows(C.own_degrees(deg, labels))
+        stats = s.table(C.community_stats(labels, own))
+        whole = best_movements(deg, own, stats, F.lit(p.omega), F.lit(float(p.vertex_count)))
+        assert rows(R.movements(p, labels, own, stats, s)) == rows(whole)

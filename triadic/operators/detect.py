@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.operators.communities import community_degrees, community_stats, own_degrees
+from triadic.operators.communities import community_stats, own_counts
 from triadic.operators.prune import Pruned, prune
 from triadic.operators.refine import refine
 from triadic.operators.seed import initial_partition
@@ -25,7 +25,7 @@ class Detection:
     metrics: dict = field(default_factory=dict)
 
     def stats(self) -> DataFrame:
-        return community_stats(self.labels, own_degrees(community_degrees(self.pruned.edges, self.labels), self.labels))
+        return community_stats(self.labels, own_counts(self.pruned, self.labels))
 
 
 def assemble(edges: DataFrame, p: Pruned, labels: DataFrame) -> DataFrame:
