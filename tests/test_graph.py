@@ -12,9 +12,9 @@ from triadic.operators import communities as C
 from triadic.operators import incremental as I
 from triadic.operators.detect import detect_communities
 from triadic.operators.graph import Graph, adjacency, degrees, symmetrize
-from triadic.operators.prune import prune
+from triadic.operators.prune import Pruned, prune
 from triadic.operators.refine import best_movements, snapshot
-from triadic.operators.seed import initial_partition
+from triadic.operators.seed import initial_partition, ranks, upward_edges
 from triadic.operators.triangles import corner_counts, edge_support, triangles
 from triadic.scratch import Scratch
 
@@ -299,3 +299,16 @@ def test_shortcuts_equal_whole_computation(spark, monkeypatch):
         stats = s.table(C.community_stats(labels, own))
         whole = best_movements(deg, own, stats, F.lit(p.omega), F.lit(float(p.vertex_count)))
         assert rows(R.movements(p, labels, own, stats, s)) == rows(whole)
+
+
+def test_upward_edges_shuffle_no_id_twice(spark):
+    rng = random.Random(11)
+    rows = [(i, 1, rng.choice([2, 3]), rng.choice([0.25, 0.5])) for i in range(12)]
+    pairs = list(itertools.combinations(range(12), 2))
+    rank = {i: (cc, vt, i) for i, _, vt, cc in rows}
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long")
+    vertices = spark.createDataFrame(rows, "id long, t long, vt long, cc double")
+    up = upward_edges(edges, ranks(Pruned(vertices, edges, None, 12)))
+    assert sorted(map(tuple, up.collect())) == sorted(tuple(sorted(e, key=rank.get)) for e in pairs)
+    joined = up._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "struct" not in joined  # what joins take from their sides is numbers alone
