@@ -751,3 +751,21 @@ def test_groups_that_closer_keys_leave_open_are_compared_whole(spark, monkeypatc
     comp = ngram_join.link_groups(members, verify, Scratch(spark, "t"), 80, sketch, closer=closer, may=lambda a, b: F.col(f"{a}_half") == F.col(f"{b}_half"))
     assert {r["node"]: r["component"] for r in comp.collect()} == {i: i - i % 2 for i in range(2, 120)}
     assert seen[-1].count() <= 59  # pairs that may() leaves out don't reach verify
+
+
+def test_long_lines_are_ruled_out_by_wide_sketches(spark):
+    from triadic.llm import line_dedup as L
+
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefghij ", k=2_000))
+    lines = [base[:i] + "".join(rng.choices("klmnopqrst", k=n)) + base[i + n :] for i in (0, 700, 1_300) for n in (20, 90, 150, 230, 300)] + ["".join(rng.choices("abc", k=n)) for n in (30, 60, 106, 110)]
+    sets = [{s[i : i + 10] for i in range(len(s) - 9)} for s in lines]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    wide = L.wide_sketches(texts, L.sketches(texts))
+    of = lambda k: wide.select(*(F.col(c).alias(f"{k}_{c}") for c in wide.columns))
+    rows = of("a").crossJoin(of("b")).where("a_node < b_node").select("a_node", "b_node", L.near(80).alias("near"), L.near_wide(80).alias("wide")).collect()
+    assert len(rows) == len(lines) * (len(lines) - 1) // 2
+    linked = {(a, b): 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b, _, _ in rows}
+    assert all(r.wide for r in rows if linked[r.a_node, r.b_node])
+    narrow, left = (sum(not linked[r.a_node, r.b_node] for r in rows if r[i]) for i in (2, 3))
+    assert any(linked.values()) and narrow >= 20 and left <= narrow // 4, (narrow, left)
