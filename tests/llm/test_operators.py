@@ -753,6 +753,25 @@ def test_groups_that_closer_keys_leave_open_are_compared_whole(spark, monkeypatc
     assert seen[-1].count() <= 59  # pairs that may() leaves out don't reach verify
 
 
+def test_wide_sketches_cost_little_more_than_narrow_ones(spark, tmp_path):
+    """The map of a line's words must not be made again for each of them: that took 8 times as long as narrow sketches."""
+    from triadic.llm import line_dedup as L
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcdefghij", k=240))) for i in range(8_000)]
+    spark.createDataFrame(rows, "node long, line string").repartition(4).write.parquet(f"{tmp_path}/t")
+    texts = spark.read.parquet(f"{tmp_path}/t")
+    L.sketches(texts).write.parquet(f"{tmp_path}/s")
+    sketched = spark.read.parquet(f"{tmp_path}/s")
+    save = lambda t: t.write.mode("overwrite").parquet(f"{tmp_path}/out")
+    narrow, wide = (min(seconds(lambda t=t: save(t)) for _ in range(3)) for t in (L.sketches(texts), L.wide_sketches(texts, sketched)))
+    assert wide < 4.5 * narrow, (narrow, wide)
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.where(F.size("wide") == L.WIDE).count() == 8_000
+    bits = found.select("n", F.aggregate("wide", F.lit(0), lambda a, x: a + F.bit_count(x)).alias("bits"))
+    assert bits.where("bits > n or pmod(n - bits, 2) = 1 or bits < n - 30").isEmpty()
+
+
 def test_long_lines_are_ruled_out_by_wide_sketches(spark):
     from triadic.llm import line_dedup as L
 
