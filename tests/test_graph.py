@@ -312,3 +312,32 @@ def test_upward_edges_shuffle_no_id_twice(spark):
     assert sorted(map(tuple, up.collect())) == sorted(tuple(sorted(e, key=rank.get)) for e in pairs)
     joined = up._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert "struct" not in joined  # what joins take from their sides is numbers alone
+
+
+def test_triangles_are_counted_in_slices(spark, monkeypatch):
+    """Counts of edges and vertices by several groups in several slices; with spent, what they came from is gone; and ids between tasks are short."""
+    import os
+
+    import numpy as np
+
+    from triadic import scratch as S
+    from triadic.operators import triangles as T
+
+    monkeypatch.setattr(T, "GROUP_EDGES", 300)
+    monkeypatch.setattr(S, "SLICE_ROWS", 200)
+    rng = random.Random(11)
+    pairs = {tuple(sorted((a, b + 10**12))) for a, b in itertools.product(range(0, 90, 3), range(0, 90, 2)) if rng.random() < 0.2}
+    pairs |= {(a, b) for a, b in itertools.combinations(range(0, 90, 3), 2) if rng.random() < 0.4} | {(-7, 5), (-7, -2)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    scratch = S.Scratch(spark, "t")
+    edges = scratch.table(spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "src long, dst long"))
+    totals = {r["id"]: r["t"] for r in T.corner_totals(edges, scratch).collect()}
+    assert totals == {v: sum(b in near[a] for a, b in itertools.combinations(n, 2)) for v, n in near.items()}
+    support, n = T.supports(edges, scratch, spent=True)
+    assert n == len(near) and {(r[0], r[1]): r[2] for r in support.collect()} == {(a, b): len(near[a] & near[b]) for a, b in pairs}
+    assert [f"{scratch.root}/{x}" for x in os.listdir(scratch.root)] == [support._scratch_path]
+    ids = np.sort(np.random.default_rng(1).integers(10**12, 10**12 + 5_000_000, 50_000))
+    assert len(T._packed(ids)) < 1.5 * len(ids) and (T._unpacked(T._packed(ids), np.int64) == ids).all()
