@@ -341,3 +341,21 @@ def test_triangles_are_counted_in_slices(spark, monkeypatch):
     assert [f"{scratch.root}/{x}" for x in os.listdir(scratch.root)] == [support._scratch_path]
     ids = np.sort(np.random.default_rng(1).integers(10**12, 10**12 + 5_000_000, 50_000))
     assert len(T._packed(ids)) < 1.5 * len(ids) and (T._unpacked(T._packed(ids), np.int64) == ids).all()
+
+
+def test_items_of_orders_are_shuffled_in_slices(spark, monkeypatch, tmp_path):
+    """No shuffle carries all items, and the pairs are the same; null orders and parts have none."""
+    from triadic import scratch as S
+    from triadic.sources.edge_list import copurchase_pairs, stored_pairs
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(150), rng.randrange(40)) for _ in range(600)] + [(None, 1), (None, 2), (3, None), (151, 7), (151, 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(S, "SLICE_ROWS", 100)
+    made = []
+    release = Scratch.release
+    monkeypatch.setattr(Scratch, "release", lambda self: (made.append(1), release(self)))
+    scratch = Scratch(spark, "t")
+    got = stored_pairs(spark, str(tmp_path), scratch)
+    assert len(made) >= 7 + S.slices(got.count())  # of items, then of pairs
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, copurchase_pairs(spark, str(tmp_path)).collect()))
